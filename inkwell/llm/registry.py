@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import lookalike, sentences
+from inkwell.llm import lookalike, mixing, pieces, sentences, tokens
 from inkwell.runtime import cut, table
 
 
@@ -34,10 +34,61 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_ends(chunks, "row_id", "text", sentences.learn_periods(chunks, "text"))
 
 
+def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+    chunks = table(spark, sf_dir, "sanguo_yanyi")
+    return pieces.split_oversized(chunks, sentences.learn_periods(chunks, "text"), with_text=with_text)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.oversized_kinds(_pieces(spark, sf_dir, with_text=False))
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir, with_text=True)
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded ids of every document; null and empty texts come back empty."""
+    return tokens.decoded(p6_ids(spark, sf_dir), "doc_id")
+
+
+def _mix(spark: SparkSession, sf_dir: str, budget: float | str | None = None) -> tuple[DataFrame, DataFrame]:
+    sized = mixing.sized_documents(table(spark, sf_dir, "documents"))
+    plan = mixing.plan_mixes(sized, table(spark, sf_dir, "mix_targets"), budget)
+    return mixing.draw(sized, plan), plan
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.reached_shares(*_mix(spark, sf_dir))
+
+
+def p7_exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached at the largest total at which no cap binds."""
+    return mixing.reached_shares(*_mix(spark, sf_dir, "exact"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_canonical_chunks": p2_canonical_chunks,
     "p2_canonical_questions": p2_canonical_questions,
     "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p5_pieces": p5_pieces,
+    "p6_ids": p6_ids,
+    "p6_decoded": p6_decoded,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p7_exact_shares": p7_exact_shares,
+}
+SQL = {
+    # decoding gives back every text
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
-SQL: dict[str, str] = {}
