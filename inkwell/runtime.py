@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +66,20 @@ def _forget_at_exit(spark: SparkSession, path: str) -> None:
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast when ``rows * row_bytes`` is within ``limit``; else leave the join to the planner."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per context, wherever the driver found it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_inkwell_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="inkwell-py-"), "inkwell.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(archive)
+    sc._inkwell_shipped = True
