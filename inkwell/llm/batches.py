@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from inkwell.runtime import ship
+
 
 def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list] | None]]) -> DataFrame:
     """``mapInArrow`` with a per-task ``make()`` that returns a function from batch to columns.
 
     Batches stay as Spark cuts them, so memory follows the batch and not the partition.
     """
+    ship(df.sparkSession)
     spark_schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(spark_schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import lookalike, mixing, pieces, sentences, tokens
+from inkwell.llm import lookalike, mixing, pieces, reading, sentences, terms, tokens
 from inkwell.runtime import cut, table
 
 
@@ -34,6 +34,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_ends(chunks, "row_id", "text", sentences.learn_periods(chunks, "text"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.names_of_few(table(spark, sf_dir, "sanguo_yanyi"), table(spark, sf_dir, "entity_table"))
+
+
+def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record's own terms, ranked, with the dictionary's names among them."""
+    chunks = table(spark, sf_dir, "sanguo_yanyi")
+    names = terms.Names(table(spark, sf_dir, "entity_table"), "canonical")
+    parts = [terms.characteristic_terms(chunks, block) for block in names.each()]
+    first, *rest = parts
+    for p in rest:  # letter pairs and words come with the first block
+        first = first.unionByName(p.where("is_name"))
+    return first
+
+
 def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
     chunks = table(spark, sf_dir, "sanguo_yanyi")
     return pieces.split_oversized(chunks, sentences.learn_periods(chunks, "text"), with_text=with_text)
@@ -75,11 +90,26 @@ def p7_exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.reached_shares(*_mix(spark, sf_dir, "exact"))
 
 
+def _levels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, sf_dir, "documents").where("source is null or lower(trim(source)) <> 'tool_trace'")
+    return reading.reading_levels(documents, table(spark, sf_dir, "reading_labels")), documents
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(spark, sf_dir)[0].select("doc_id", "reading_level")
+
+
+def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.level_profile(*_levels(spark, sf_dir))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_canonical_chunks": p2_canonical_chunks,
     "p2_canonical_questions": p2_canonical_questions,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_terms": p4_terms,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_ids": p6_ids,
@@ -87,8 +117,15 @@ QUERIES = {
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
     "p7_exact_shares": p7_exact_shares,
+    "p8_found": p8_found,
+    "p8_profile": p8_profile,
 }
 SQL = {
+    "p4_found": """
+WITH e AS (SELECT DISTINCT canonical FROM entity_table WHERE canonical <> ''),
+h AS (SELECT DISTINCT s.chunk_id, e.canonical FROM sanguo_yanyi s JOIN e ON contains(s.text, e.canonical) WHERE s.chunk_id IS NOT NULL),
+c AS (SELECT canonical FROM h GROUP BY canonical HAVING count(*) BETWEEN 2 AND 5)
+SELECT chunk_id, canonical FROM h SEMI JOIN c USING (canonical)""",
     # decoding gives back every text
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
