@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.plans import dangling
+from inkwell.plans import dangling, search
 
-QUERIES = dangling.QUERIES
-SQL = dangling.SQL
+_MODULES = (dangling, search)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dangling.p1_orphan_report(spark, sf_dir)
+    """Hybrid top-k of the question set."""
+    return search.hybrid_fusion(spark, sf_dir)
