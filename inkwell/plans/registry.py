@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.plans import dangling, search
+from inkwell.plans import dangling, naming, search
 
-_MODULES = (dangling, search)
+_MODULES = (dangling, search, naming)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}
 
