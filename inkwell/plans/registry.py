@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.plans import dangling, naming, search
+from inkwell.plans import dangling, measures, naming, search
+
+_MODULES = (dangling, search, naming, measures)
+#: counts and positions come out as bigint, as in the SQL counterparts
+_LONG = {
+    "rank", "final_rank", "place", "priority", "refs", "tokens", "aliases", "keys", "fragments", "first_rank", "to_rank", "from_rank", "line_no", "chars", "clauses", "longest",
+}
+
+
+def _long(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = f(spark, sf_dir)
+        small = [c for c, kind in df.dtypes if kind == "int" and c in _LONG]
+        return df.withColumns({c: df[c].cast("bigint") for c in small}) if small else df
+
+    return run
+
 
-_MODULES = (dangling, search, naming)
-QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+QUERIES = {name: _long(f) for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}
 
 
