@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.functions import text as X
-from inkwell.runtime import ship
+from inkwell.runtime import ship, spread
 
 # Block sizes and the marks that end a sentence or close it.
 TARGET, CAP, TINY, LEAD = 350, 600, 60, 12
@@ -25,7 +25,7 @@ VERSE_WORDS = ("诗", "歌", "词", "赋", "吟", "赞", "谣", "偈", "古风",
 def body_lines(texts: DataFrame) -> DataFrame:
     """(doc, line_no, line): trimmed lines of ``texts(doc, text)`` without blank and noise lines, numbered."""
     parts = F.filter(F.transform(F.split("text", "\r\n|\n|\r"), lambda x: F.btrim(x, F.lit(TRIM))), lambda x: (x != "") & ~x.contains(NOISE))
-    return texts.where("text is not null").select("doc", F.posexplode(parts).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    return spread(texts.where("text is not null").select("doc", "text")).select("doc", F.posexplode(parts).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
 def chapters(lines: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def packed(texts: DataFrame) -> DataFrame:
                         o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.string(), pa.int32()), strict=True)], ["doc", "seq", "text", "char_count"])
 
-    return texts.where("text is not null").select(F.col("doc").cast("bigint").alias("doc"), "text").mapInArrow(run, "doc bigint, seq int, text string, char_count int")
+    return spread(texts.where("text is not null").select(F.col("doc").cast("bigint").alias("doc"), "text")).mapInArrow(run, "doc bigint, seq int, text string, char_count int")
 
 
 def chunk_ids(source: str, blocks: DataFrame) -> DataFrame:

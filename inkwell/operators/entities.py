@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from inkwell.functions import text as X
 from inkwell.operators.matching import substring_join
-from inkwell.runtime import BROADCAST_BYTES, ship
+from inkwell.runtime import BROADCAST_BYTES, ship, spread
 
 
 def _texts(c: str) -> Column:
@@ -146,7 +146,7 @@ def scan_texts(texts: DataFrame, lex: DataFrame, most_bytes: int = BROADCAST_BYT
         types = [pa.int64(), pa.string(), pa.list_(pa.struct(pair)), pa.list_(pa.struct([*pair, pa.field("times", pa.int32())]))]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], ["doc", "normalized", "rewrites", "expansions"])
 
-    source = texts.select(F.col("doc").cast("bigint").alias("doc"), "text").where("text <> ''")
+    source = spread(texts.select(F.col("doc").cast("bigint").alias("doc"), "text").where("text <> ''"))
     if size <= most_bytes:
         words = spark.sparkContext.broadcast([(r.word, r.key_of, r.fragment_of) for r in lex.collect()])
 

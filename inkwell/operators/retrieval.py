@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.functions import text as X
-from inkwell.runtime import ship
+from inkwell.runtime import ship, spread
 
 # Ranking constants.
 K1, B = 1.5, 0.75
@@ -32,7 +32,7 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(doc, len, term, tf) of body chunks, for all terms or those of ``terms(term)`` only."""
     # the length is its own step: beside the explode it would be computed again for every token
-    sized = chunks.where("role = 'body'").select("doc", X.token_count("text").alias("len"), X.without_blanks("text").alias("text"))
+    sized = spread(chunks.where("role = 'body'").select("doc", "text")).select("doc", X.token_count("text").alias("len"), X.without_blanks("text").alias("text"))
     rows = sized.select("doc", "len", F.explode(X.tokens("text")).alias("term"))
     if terms is not None:
         rows = rows.join(terms, "term", "left_semi")  # before counting: other terms never leave their task

@@ -63,6 +63,19 @@ def _forget_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(remove)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores when a scan has less than half as many splits as there are cores.
+
+    For work that multiplies its input (tokenising, Python). Large inputs have enough splits and stay as they
+    are, and a frame that already has a shuffle behind it is left alone: looking at it here would run it.
+    """
+    execution = df._jdf.queryExecution()
+    if execution.executedPlan().toString().startswith("AdaptiveSparkPlan"):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * execution.toRdd().getNumPartitions() <= cores else df
+
+
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast when ``rows * row_bytes`` is within ``limit``; else leave the join to the planner."""
     return F.broadcast(df) if rows * row_bytes <= limit else df

@@ -23,13 +23,13 @@ def test_entity_rules(spark):
         ("L3", "place", "奇门遁甲", ["遁甲"], ["遁甲"], None),
         ("L4", "place", "遁甲天书", ["天书"], ["天书"], None),
         ("L5", "place", "空", [], ["x"], None),
-        ("L6", "place", "同键一", ["同键"], ["同键"], None),
-        ("L7", "place", "键同二", ["同键"], ["同键"], None),
+        ("L6", "place", "某一", ["同键"], ["同键"], None),
+        ("L7", "place", "某二", ["同键"], ["同键"], None),
         ("L8", "place", None, ["a"], None, None),
         ("L9", "place", "守卫", ["汀上"], ["汀上"], None, '{"bad":[["汀上",6]]}', None),
     ]
     v = E.valid_entities(ent(spark, rows))
-    assert {r.canonical for r in v.collect()} == {"关羽", "张飞", "长坂坡", "博望坡", "奇门遁甲", "遁甲天书", "同键一", "键同二", "守卫"}
+    assert {r.canonical for r in v.collect()} == {"关羽", "张飞", "长坂坡", "博望坡", "奇门遁甲", "遁甲天书", "某一", "某二", "守卫"}
     keys = {r.key: r.canonical for r in E.rewrite_keys(v).collect()}
     assert keys == {"云长": "关羽", "翼德": "张飞", "长坂": "长坂坡", "博望": "博望坡", "天书": "遁甲天书"}
     assert {(r.key, r.canonical) for r in E.fragment_keys(v).collect()} == {("关公", "关羽")}
