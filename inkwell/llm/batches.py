@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from inkwell.runtime import ship
+from inkwell.runtime import ship, spread
 
 
 def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list] | None]]) -> DataFrame:
@@ -28,4 +28,4 @@ def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Ca
                 arrays = [c if isinstance(c := columns[f.name], pa.Array) and c.type == f.type else (c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type)) for f in arrow]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return df.mapInArrow(run, spark_schema)
+    return spread(df).mapInArrow(run, spark_schema)
