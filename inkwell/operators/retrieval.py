@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.functions import text as X
-from inkwell.runtime import ship, spread
+from inkwell.runtime import cut, maybe_broadcast, ship, spread
 
 # Ranking constants.
 K1, B = 1.5, 0.75
@@ -35,7 +35,7 @@ def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     sized = spread(chunks.where("role = 'body'").select("doc", "text")).select("doc", X.token_count("text").alias("len"), X.without_blanks("text").alias("text"))
     rows = sized.select("doc", "len", F.explode(X.tokens("text")).alias("term"))
     if terms is not None:
-        rows = rows.join(terms, "term", "left_semi")  # before counting: other terms never leave their task
+        rows = rows.join(terms, "term", "left_semi")  # before counting: with a small side other terms never leave their task
     return rows.groupBy("doc", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -51,8 +51,10 @@ def query_terms(queries: DataFrame, distinct: bool = False) -> DataFrame:
 
 def bm25(queries: DataFrame, chunks: DataFrame, distinct: bool = False, extra: DataFrame | None = None) -> DataFrame:
     """(qid, doc, bm25) of all lexical hits. ``extra(doc, term, tf)`` adds to term counts, not to lengths."""
-    asked = query_terms(queries, distinct)
-    wanted = asked.select("term").distinct()
+    # written once: its size is then known, and decides between broadcasting it and shuffling the postings
+    asked = cut(query_terms(queries, distinct))
+    terms = asked.count()
+    wanted = maybe_broadcast(asked.select("term").distinct(), terms, 64)
     post = postings(chunks, wanted)
     if extra is not None:
         more = extra.join(chunks.where("role = 'body'").select("doc", X.token_count("text").alias("len")), "doc").join(wanted, "term", "left_semi")
@@ -61,11 +63,13 @@ def bm25(queries: DataFrame, chunks: DataFrame, distinct: bool = False, extra: D
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     weighted = asked.join(df, "term").crossJoin(F.broadcast(corpus_stats(chunks))).select("qid", "term", "times", idf.alias("idf"), "avg_len")  # one row
-    return post.join(weighted, "term").groupBy("qid", "doc").agg(F.sum(F.col("times") * F.col("idf") * weight).alias("bm25"))
+    return post.join(maybe_broadcast(weighted, terms, 96), "term").groupBy("qid", "doc").agg(F.sum(F.col("times") * F.col("idf") * weight).alias("bm25"))
 
 
 def min_max(scores: DataFrame, score: str, out: str, by: str = "qid") -> DataFrame:
-    """Scale to 0..1 within ``by``; all equal gives 1. Extremes come from an aggregate, not from a window."""
+    """Scale to 0..1 within ``by``; all equal gives 1. Extremes come from an aggregate, not from a window, so no
+    task orders a whole group; the scores are written once because they are read twice."""
+    scores = cut(scores)
     ends = scores.groupBy(by).agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
     return scores.join(ends, by).withColumn(out, F.when(F.col("__hi") > F.col("__lo"), (F.col(score) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(F.lit(1.0))).drop("__lo", "__hi")
 

@@ -115,7 +115,6 @@ def _grouped_pool(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = _events(spark, d).unionByName(_allusions(spark, d))
     of = matched.where("group_type <> 'L3'").join(G.members(e, chunks(spark, d)), "eventid").select("qid", "doc")
     lexical, tagged, best, cosines = search.parts(spark, d)
-    lexical = cut(lexical)
     return R.add_members(cut(R.fuse(lexical, tagged, best, cosines)), of, lexical, cosines, tagged), matched.where("group_type <> 'L3'")
 
 
