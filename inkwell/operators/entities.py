@@ -190,3 +190,50 @@ def double_write(expanded: DataFrame) -> DataFrame:
     """(doc, term, tf): every distinct token of an expansion's canonical form counts as often as the key."""
     each = expanded.select("doc", "times", F.explode(F.array_distinct(X.tokens("canonical"))).alias("term"))
     return each.groupBy("doc", "term").agg(F.sum("times").alias("tf"))
+
+
+def merged(entities: DataFrame, banned: DataFrame, no_keys_types: tuple[str, ...] = ()) -> DataFrame:
+    """One row per (type, canonical) of a draft with repeated rows.
+
+    Aliases, keys and fragments are united in sorted order; the smallest id stays. Keys must be aliases, not the
+    canonical form, and of two or more characters; ``banned(key)`` words and all aliases of the types in
+    ``no_keys_types`` become fragments instead; a key of several rows is dropped from all and becomes none.
+    """
+    each = entities.where("entity_type <> '' and canonical <> ''").select("entity_id", "entity_type", "canonical", *(_texts(c).alias(c) for c in ("aliases", "rewritekeys", "fragmentonly")))
+    united = each.groupBy("entity_type", "canonical").agg(F.min("entity_id").alias("entity_id"), *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("aliases", "rewritekeys", "fragmentonly")))
+    own = lambda k: F.array_contains(F.col("aliases"), k) & (k != F.col("canonical"))
+    loose = F.col("entity_type").isin(*no_keys_types) if no_keys_types else F.lit(False)
+    named = united.select("entity_id", "entity_type", "canonical", "aliases", F.filter("rewritekeys", own).alias("wanted"), F.filter(F.when(loose, F.array_union("fragmentonly", "aliases")).otherwise(F.col("fragmentonly")), own).alias("parts"), loose.alias("loose"))
+    keys = named.select("entity_type", "canonical", "loose", F.explode("wanted").alias("key")).where("length(key) > 1")
+    marked = keys.join(banned.select("key", F.lit(True).alias("__b")).distinct(), "key", "left").withColumn("__b", F.coalesce("__b", F.lit(False)) | F.col("loose"))
+    claims = marked.where("not __b").groupBy("key").agg(F.countDistinct("entity_type", "canonical").alias("claims"))
+    decided = marked.join(claims, "key", "left").groupBy("entity_type", "canonical").agg(
+        F.array_sort(F.collect_set(F.when(~F.col("__b") & (F.col("claims") == 1), F.col("key")))).alias("keys"), F.collect_set(F.when(F.col("__b"), F.col("key"))).alias("moved")
+    )
+    none = F.array().cast("array<string>")
+    joined = named.join(decided, ["entity_type", "canonical"], "left").withColumn("keys", F.coalesce("keys", none)).withColumn("moved", F.coalesce("moved", none))
+    return joined.select("entity_id", "entity_type", "canonical", "aliases", "keys", F.array_sort(F.array_except(F.array_union("parts", "moved"), "keys")).alias("fragments"))
+
+
+def merge_problems(rows: DataFrame) -> DataFrame:
+    """(problem, key): what a merged table must not have; empty when it is sound."""
+    key = rows.select("entity_type", "canonical", F.explode("keys").alias("key"))
+    part = rows.select("canonical", F.explode("fragments").alias("key"))
+    forms = rows.select(F.col("canonical").alias("key")).distinct()
+    said = lambda df, what: df.select(F.lit(what).alias("problem"), "key")
+    return (
+        said(key.groupBy("key").count().where("count > 1"), "key of several rows")
+        .unionByName(said(rows.groupBy("entity_type", F.col("canonical").alias("key")).count().where("count > 1"), "form twice in a type"))
+        .unionByName(said(key.join(forms, "key", "left_semi"), "form among keys"))
+        .unionByName(said(part.join(key.select("canonical", "key"), ["canonical", "key"], "left_semi"), "key and fragment"))
+    )
+
+
+def content_digest(rows: DataFrame) -> DataFrame:
+    """One row: the first eight hex digits of a digest over all rows, independent of their order.
+
+    Row digests are summed, so no task or driver holds the table; a repeated row counts.
+    """
+    line = F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns)]))
+    part = F.conv(F.substring(F.sha2(line, 256), 1, 13), 16, 10).cast("decimal(38,0)")
+    return rows.agg(F.substring(F.sha2(F.concat_ws(":", F.sum(part).cast("string"), F.count(F.lit(1)).cast("string")), 256), 1, 8).alias("digest"), F.count(F.lit(1)).alias("rows"))

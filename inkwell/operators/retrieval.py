@@ -240,3 +240,66 @@ def rerank_window(ranked: DataFrame, external: str | None, window: int = RERANK_
     by = F.when(zone == 1, F.col(external))
     order = Window.partitionBy("qid").orderBy(zone, by.desc_nulls_last(), F.col("rank"))
     return ranked.withColumn("final_rank", F.row_number().over(order)).withColumn("degraded", F.lit(None).cast("string"))
+
+
+def hit_labels(queries: DataFrame, tagged: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(qid, doc, label): tags of ranked rows that share a token of two or more characters with the query."""
+    terms = tagged.select("doc", "tag", F.explode(X.tokens(X.strip_tag_type("tag", OWN_PREFIXES))).alias("term")).where("length(term) >= 2").distinct()
+    asked = query_terms(queries, distinct=True).where("length(term) >= 2").select("qid", "term")
+    return asked.join(terms, "term").select("qid", "doc", F.col("tag").alias("label")).distinct().join(ranked.select("qid", "doc"), ["qid", "doc"], "left_semi")
+
+
+def placed_members(matched: DataFrame, members: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(qid, eventid, group_size, placed): matched groups and how many of their members were returned.
+
+    ``matched(qid, eventid)``, ``members(eventid, doc)``, ``ranked(qid, doc)``.
+    """
+    of = matched.select("qid", "eventid").join(members.select("eventid", "doc"), "eventid")
+    sizes = of.groupBy("qid", "eventid").agg(F.countDistinct("doc").alias("group_size"))
+    placed = of.join(ranked.select("qid", "doc"), ["qid", "doc"], "left_semi").groupBy("qid", "eventid").agg(F.countDistinct("doc").alias("placed"))
+    return matched.select("qid", "eventid").distinct().join(sizes, ["qid", "eventid"], "left").join(placed, ["qid", "eventid"], "left").fillna({"group_size": 0, "placed": 0})
+
+
+def score_pairs(pairs: DataFrame, make_scorer, most: int = 16, out: str = "ce") -> DataFrame:
+    """``pairs(qid, doc, query, text)`` with a score column from a pluggable scorer.
+
+    ``make_scorer()`` runs once per task (models are loaded there) and returns a function from lists of
+    queries and texts to scores. Inside an Arrow batch pairs go to it in order of length, ``most`` at a time,
+    so that a batch pads to similar lengths. A scorer that is unavailable gives null scores.
+    """
+    ship(pairs.sparkSession)
+
+    def run(batches):
+        scorer = make_scorer()
+        for batch in batches:
+            q, t = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            scores: list[float | None] = [None] * len(q)
+            if scorer is not None:
+                order = sorted(range(len(q)), key=lambda i: (len(q[i] or "") + len(t[i] or ""), i))
+                for a in range(0, len(order), most):
+                    at = order[a : a + most]
+                    for i, s in zip(at, scorer([q[i] or "" for i in at], [t[i] or "" for i in at]), strict=True):
+                        scores[i] = float(s)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["qid", "doc", out])
+
+    source = pairs.select(F.col("qid").cast("bigint").alias("qid"), F.col("doc").cast("bigint").alias("doc"), "query", "text")
+    return source.mapInArrow(run, f"qid bigint, doc bigint, {out} double")
+
+
+def vector_base64(vectors: DataFrame) -> DataFrame:
+    """(doc, dim, data): vectors as base64 of their little-endian 32-bit floats."""
+    ship(vectors.sparkSession)
+
+    def run(batches):
+        import base64
+
+        for batch in batches:
+            rows = [np.asarray(v, "<f4") for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(v) for v in rows], pa.int32()), pa.array([base64.b64encode(v.tobytes()).decode() for v in rows])], ["doc", "dim", "data"])
+
+    return vectors.select(F.col("doc").cast("bigint").alias("doc"), "embedding").where("embedding is not null").mapInArrow(run, "doc bigint, dim int, data string")
+
+
+def pick_one(rows: DataFrame, id_col: str, seed: int) -> DataFrame:
+    """One row, drawn by a seeded hash of its id: the same seed gives the same row whatever the partitioning."""
+    return rows.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(1)

@@ -7,9 +7,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.plans import dangling, measures, naming, search
+from inkwell.plans import checks, dangling, measures, naming, search
 
-_MODULES = (dangling, search, naming, measures)
+_MODULES = (dangling, search, naming, measures, checks)
 #: counts and positions come out as bigint, as in the SQL counterparts
 _LONG = {
     "rank", "final_rank", "place", "priority", "refs", "tokens", "aliases", "keys", "fragments", "first_rank", "to_rank", "from_rank", "line_no", "chars", "clauses", "longest",

@@ -92,3 +92,27 @@ def test_bridges_prefer_the_longest_key(spark):
     q = spark.createDataFrame([(1, "赤壁之战前火攻"), (2, "无")], "qid bigint, text string")
     got = [(r.eventid, r.matched, r.priority) for r in G.bridges(q, G.bridge_keys(v, G.valid_aliases(v))).orderBy("priority").collect()]
     assert got == [("E1", "赤壁之战", 1), ("E2", "战前火攻", 2)]
+
+
+def test_merge(spark):
+    rows = [
+        ("P2", "person", "关羽", ["云长", "关公"], ["云长"], None),
+        ("P1", "person", "关羽", ["关公", None, "美髯"], ["关公", "没有", "关羽"], ["美髯"]),
+        ("P3", "person", "赵云", ["子龙", "同"], ["子龙", "同"], None),
+        ("P4", "person", "马超", ["子龙", "孟起"], ["子龙", "孟起"], None),
+        ("O1", "office", "太守", ["府君"], ["府君"], None),
+        ("X", "person", None, ["a"], ["a"], None),
+    ]
+    banned = spark.createDataFrame([("关公",), ("关公",)], "key string")
+    out = {r.canonical: r for r in E.merged(ent(spark, rows), banned, ("office",)).collect()}
+    assert (out["关羽"].entity_id, out["关羽"].aliases, out["关羽"].keys, out["关羽"].fragments) == ("P1", ["云长", "关公", "美髯"], ["云长"], ["关公", "美髯"])
+    assert out["赵云"].keys == [] and out["马超"].keys == ["孟起"]
+    assert (out["太守"].keys, out["太守"].fragments) == ([], ["府君"])
+    assert E.merge_problems(E.merged(ent(spark, rows), banned, ("office",))).count() == 0
+
+
+def test_digest_ignores_order_and_sees_changes(spark):
+    a = spark.createDataFrame([(1, "x"), (2, None), (2, None)], "i int, t string")
+    same = spark.createDataFrame([(2, None), (1, "x"), (2, None)], "i int, t string").repartition(3)
+    other = spark.createDataFrame([(1, "x"), (2, None)], "i int, t string")
+    assert E.content_digest(a).first() == E.content_digest(same).first() != E.content_digest(other).first()

@@ -123,3 +123,54 @@ def test_postings_plan_prunes_columns_and_filters_role(spark, tmp_path):
     spark.createDataFrame(ROWS, CHUNKS).write.parquet(str(tmp_path / "c"))
     plan = R.postings(spark.read.parquet(str(tmp_path / "c")))._jdf.queryExecution().toString()
     assert "EqualTo(role,body)" in plan and "chunk_id" not in plan.split("== Physical Plan ==")[1].split("ReadSchema")[1]
+
+
+def test_score_pairs_batches_by_length_and_survives_a_missing_scorer(spark):
+    pairs = spark.createDataFrame([(1, i, "q", "x" * n) for i, n in enumerate([9, 1, 5, 30, 2])] + [(1, 9, "q", None)], "qid bigint, doc bigint, query string, text string").coalesce(1)
+
+    def make():
+        def score(qs, ts):
+            lengths = [len(t) for t in ts]
+            assert lengths == sorted(lengths) and len(ts) <= 2
+            return lengths
+
+        return score
+
+    assert {r.doc: r.ce for r in R.score_pairs(pairs, make, most=2).collect()} == {0: 9, 1: 1, 2: 5, 3: 30, 4: 2, 9: 0}
+    assert {r.ce for r in R.score_pairs(pairs, lambda: None).collect()} == {None}
+
+
+def test_vector_base64(spark):
+    import base64
+    import struct
+
+    v = spark.createDataFrame([(1, [1.0, -2.5]), (2, None)], "doc bigint, embedding array<double>")
+    (r,) = R.vector_base64(v).collect()
+    assert r.dim == 2 and struct.unpack("<2f", base64.b64decode(r.data)) == (1.0, -2.5)
+
+
+def test_pick_one_is_seeded(spark):
+    rows = spark.range(100)
+    picks = {R.pick_one(rows.repartition(n), "id", 3).first().id for n in (1, 3, 7)}
+    assert len(picks) == 1 and len({R.pick_one(rows, "id", s).first().id for s in range(8)}) > 1
+
+
+def test_search_uses_the_vector_route_alone_behind_the_gate(spark, chunks):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (4, [0.7, 0.7])], "doc bigint, embedding array<double>")
+    q = spark.createDataFrame([(1, "zzz"), (2, "yyy")], "qid bigint, text string")
+    qv = spark.createDataFrame([(1, [1.0, 0.1]), (2, [-1.0, -1.0])], "qid bigint, embedding array<double>")
+    got = [(r.qid, r.doc) for r in api.search(q, chunks, vectors=vectors, query_vectors=qv, limit=2).orderBy("qid", "rank").collect()]
+    assert got == [(1, 1), (1, 4)]
+
+
+def test_containment_joins_hash(spark):
+    from inkwell.operators.matching import substring_join
+
+    left = spark.createDataFrame([("abc",)], "t string")
+    plan = substring_join(left, "t", spark.createDataFrame([("b",)], "k string"), "k")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_top_k_limits_before_the_shuffle(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("qid"), F.col("id").alias("doc"), (F.col("id") % 17).cast("double").alias("score"))
+    assert "WindowGroupLimit" in R.top_k(df, 5, F.desc("score"), F.col("doc"))._jdf.queryExecution().toString()
