@@ -9,7 +9,7 @@ opinion or a few easier or harder sentences don't decide it.
 
 from __future__ import annotations
 
-import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +31,37 @@ MIDDLE = 2.5
 #: weight of a propagated document against a clamped one, and smoothing of a word's difficulty and spread
 FREE, PRIOR, SPREAD, SHARPNESS = 0.3, 0.1, 0.05, 1.5
 
-_HAN = re.compile("[㐀-鿿\U00020000-\U0003ffff]")
-_KANA = re.compile("[ぁ-ヿ]")
-_LATIN = re.compile("[A-Za-zÀ-ɏ]")
-_LETTER = re.compile(r"[^\W\d_]")
+@cache
+def _letter_kinds() -> np.ndarray:
+    """Per code point of the basic plane: 0 no letter, 1 ideograph, 2 kana, 3 Latin, 4 another letter."""
+    kinds = np.zeros(0x10000, np.uint8)
+    for o in range(0x10000):
+        if chr(o).isalpha():
+            ideograph = 0x3400 <= o < 0xA000 or 0xF900 <= o < 0xFB00
+            kinds[o] = 1 if ideograph else 2 if 0x3041 <= o < 0x3100 else 3 if o < 0x250 else 4
+    return kinds
+
+
+def languages(texts: list[str]) -> list[str | None]:
+    """``zh``, ``en`` or None (another language or no letters) for each text, by the scripts of its letters.
+
+    None when kana are more than a tenth of ideographs and kana and than a tenth of Latin letters, or when
+    letters of other scripts are the majority. An ideograph counts as three Latin letters.
+    """
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = np.where(codes < 0x10000, _letter_kinds()[np.minimum(codes, 0xFFFF)], (codes >= 0x20000) & (codes < 0x40000))
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    counts = np.bincount(row * 5 + kinds, minlength=5 * len(texts)).reshape(-1, 5)
+    out: list[str | None] = []
+    for _, han, kana, latin, other in counts.tolist():
+        total = han + kana + latin + other
+        foreign = kana > 0.1 * (han + kana) and kana > 0.1 * latin or 2 * (han + latin) < total
+        out.append(None if not total or foreign else "zh" if 3 * han > latin else "en")
+    return out
 
 
 def language(text: str) -> str | None:
-    """``zh``, ``en`` or None for another language or no letters, by the scripts of the text's letters."""
-    han, kana, latin, all_ = (len(p.findall(text)) for p in (_HAN, _KANA, _LATIN, _LETTER))
-    if not all_ or kana > 0.1 * (han + kana) and kana > 0.1 * latin or 2 * (han + latin) < all_:
-        return None
-    # a word of five letters or so carries what one or two ideographs do
-    return "zh" if 3 * han > latin else "en"
+    return languages([text])[0]
 
 
 def opinions(labels: DataFrame) -> DataFrame:
@@ -78,7 +96,7 @@ def document_graph(documents: DataFrame, opinion: DataFrame) -> DataFrame:
             out: dict[str, list] = {n: [] for n in ("doc_id", "opinion", "nodes", "words", "lengths")}
             for first, texts in slices(batch, 2):
                 forms = [canonical(t) for t in texts]
-                kept = [i for i, t in enumerate(forms) if language(t)]
+                kept = [i for i, lang in enumerate(languages(forms)) if lang]
                 if not kept:
                     continue
                 forms = [forms[i] for i in kept]
