@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkwell.runtime import cut
+
 BLOCK_BITS = 32_768  # of bitmap_construct_agg
 
 
@@ -80,12 +82,13 @@ def orphan_references(refs: DataFrame, parents: DataFrame, bits_per_key: int = 1
     parents = parents.select(F.col("key").alias("parent_key"), "since", "until")
     refs = refs.select("ref_table", "ref_key", "parent_key", "at").where(F.col("parent_key").isNotNull()).distinct()
     bloom = BlockedBloom(parents.select("parent_key"), "parent_key", bits_per_key=bits_per_key, max_bits=max_bits)
-    marked = bloom.mark(refs, "parent_key")
+    # written once: the marked references feed every branch below
+    marked = cut(bloom.mark(refs, "parent_key"))
     proven = marked.where(~F.col("may_exist")).select("ref_table", "ref_key", "parent_key", "at", F.lit("missing").alias("kind"))
     passed = marked.where("may_exist").drop("may_exist")
 
     asked = passed.select("parent_key", "at").distinct()
-    wanted = parents.join(asked.select("parent_key").distinct(), "parent_key", "left_semi")
+    wanted = cut(parents.join(asked.select("parent_key").distinct(), "parent_key", "left_semi"))
     ever = wanted.groupBy("parent_key").agg(F.min("since").alias("first_since"), F.max(F.col("since").isNull()).alias("undated"))
     there = wanted.where("since is not null and (until is null or until > since)")
     steps = (
