@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import threading
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
@@ -64,3 +67,52 @@ def bank_query(queries: DataFrame, bank: DataFrame, limit: int = 1) -> DataFrame
 def bank_route(queries: DataFrame, bank: DataFrame) -> DataFrame:
     """(qid, known): whether the bank has nearly this question."""
     return B.route(queries, bank).select("qid", "known")
+
+
+class Runs:
+    """One evaluation run at a time, with its state and a way to stop it.
+
+    States: ``idle``, ``running``, ``done``, ``failed``, ``aborted``. A second start while one runs is refused.
+    ``abort`` cancels the run's Spark jobs; what it has written by then stays.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.state, self.run_id, self.error = spark, "idle", None, None
+        self._lock, self._thread = threading.Lock(), None
+        self._aborted = threading.Event()
+
+    def start(self, run_id: str, job: Callable[[], object]) -> bool:
+        with self._lock:
+            if self.state == "running":
+                return False
+            self.state, self.run_id, self.error = "running", run_id, None
+            self._aborted.clear()
+
+        def work() -> None:
+            sc = self.spark.sparkContext
+            sc.setJobGroup(run_id, f"evaluation {run_id}", interruptOnCancel=True)
+            try:
+                job()
+                state = "aborted" if self._aborted.is_set() else "done"
+            except Exception as e:  # the state carries the failure to whoever polls
+                self.error = str(e)
+                state = "aborted" if self._aborted.is_set() else "failed"
+            with self._lock:
+                self.state = state
+
+        self._thread = threading.Thread(target=work, daemon=True)
+        self._thread.start()
+        return True
+
+    def abort(self) -> bool:
+        with self._lock:
+            if self.state != "running":
+                return False
+            self._aborted.set()
+        self.spark.sparkContext.cancelJobGroup(self.run_id)
+        return True
+
+    def wait(self, seconds: float | None = None) -> str:
+        if self._thread is not None:
+            self._thread.join(seconds)
+        return self.state

@@ -209,9 +209,9 @@ def add_members(pool: DataFrame, members: DataFrame, lexical: DataFrame, cosines
 
 def cap_pool(pool: DataFrame, matched: DataFrame, cap: int = POOL_CAP) -> DataFrame:
     """Keep the ``cap`` best of a query's pool where a group matched (``matched(qid)``); others stay whole."""
-    flagged = pool.join(matched.select("qid", F.lit(1).alias("__m")).distinct(), "qid", "left")
-    ranked = flagged.withColumn("__r", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("doc"))))
-    return ranked.where(F.col("__m").isNull() | (F.col("__r") <= cap)).drop("__m", "__r")
+    hit = matched.select("qid").distinct()
+    best = top_k(pool.join(hit, "qid", "left_semi"), cap, F.desc("score"), F.col("doc")).drop("rank")
+    return best.unionByName(pool.join(hit, "qid", "left_anti"))  # these are never ordered
 
 
 def rescore(pool: DataFrame, enhanced: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from inkwell.operators import corpus as C
 from inkwell.operators import evaluate as V
 from inkwell.operators import quality as Q
 from inkwell.operators import retrieval as R
+from inkwell.operators.intents import BIRTH, DEATH_GATE, INTENTS, intent_of
 from inkwell.plans import frames as P
 from inkwell.plans import naming
 from inkwell.plans.frames import chunks, fixed_sql, query_vectors, vectors, with_
@@ -122,28 +123,6 @@ def bank_form(spark: SparkSession, d: str) -> DataFrame:
     return _bank(spark, d)[1].select("id", X.bank_form("text").alias("form"))
 
 
-# Question patterns, in order of precedence; the first that matches decides.
-DEATH_GATE = "死|亡|丧命|殒命|遇害|杀|斩|结局|遗言|遗诏|遗嘱|遗书|遗表|遗令|托孤|临终|驾崩|卒年|享年|去世|活了多少岁"
-INTENTS = (
-    ("death_agent", "被谁|谁杀|谁斩|谁所杀|死于谁手|死在谁手|何人.*杀"),
-    ("death_place", "死[在哪于]|死于何地|丧命何处|殒命.*[何哪处]"),
-    ("death_time", "何时.*死|什么时候.*死|死.*(在哪年|何年|哪年)"),
-    ("death_age", "死的时候.*(多少岁|几岁|多大)|死时(多少岁|几岁|多大)|享年|卒年|去世时(多少岁|几岁|多大)|活了多少岁"),
-    ("death_confirm", "死了(吗|没有)?[？?]?$|死没死"),
-    ("death_manner", "怎么.*死|如何.*死|死因|死亡原因|因何.*死|为何.*死|是怎么没的|之死$"),
-    ("death_last_words", "临终|死前|死时|遗言|遗诏|遗嘱|遗书|遗表|遗令|托孤|嘱托|交代后事"),
-    ("death_aftermath", "死后|死了之后|结局|后来.*(怎样|如何)|之后.*(继任|接任|怎样)"),
-)
-BIRTH = "出场|登场|出世|露面|亮相|舞台|现身|出现"
-
-
-def intent_of(text: str) -> F.Column:
-    c, out = F.col(text), None
-    for kind, pattern in INTENTS:
-        out = F.when(c.rlike(pattern), kind) if out is None else out.when(c.rlike(pattern), kind)
-    return F.when(c.rlike(DEATH_GATE), out)
-
-
 def intent_class(spark: SparkSession, d: str) -> DataFrame:
     """Death intent and birth intent of every sentence-like line of the documents."""
     lines = C.body_lines(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"))

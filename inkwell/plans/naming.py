@@ -111,7 +111,7 @@ def bridge_match(spark: SparkSession, d: str) -> DataFrame:
 
 def _grouped_pool(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(pool with members of the matched groups, matches) of the question set."""
-    matched = _bridges(spark, d)
+    matched = cut(_bridges(spark, d))  # read four times below
     e = _events(spark, d).unionByName(_allusions(spark, d))
     of = matched.where("group_type <> 'L3'").join(G.members(e, chunks(spark, d)), "eventid").select("qid", "doc")
     lexical, tagged, best, cosines = search.parts(spark, d)

@@ -105,6 +105,13 @@ def markdown_items(spark: SparkSession, file: str, categories: dict[str, str] |
     return rows.select(category.alias("category"), F.col("c")[1].cast("int").alias("num"), F.col("c")[2].alias("question"), F.col("c")[3].alias("answer"), F.element_at("c", -2).alias("evidence"))
 
 
+def markdown_rows(spark: SparkSession, file: str) -> DataFrame:
+    """(line_no, cells) of all table lines of a Markdown file, separator lines left out; for catalogues."""
+    lines = spark.read.text(file, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).where("line like '|%'")
+    cells = F.transform(F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), "\\|"), lambda c: F.trim(c))
+    return lines.where(~F.col("line").rlike(r"^[|\s:-]+$")).select("line_no", cells.alias("cells"))
+
+
 def group_evaluation(spark: SparkSession, file: str) -> DataFrame:
     """(id, category, question, chunk_ids, seg_count, cross_chapter); a missing field fails the query."""
     schema = "meta map<string,string>, rows array<struct<id:string,category:string,question:string,chunkIds:array<string>,segCount:int,crossChapter:boolean>>"

@@ -157,3 +157,8 @@ def test_streaming_windows_close_behind_the_watermark(spark, tmp_path):
     rows = [(1, 1, t(0, 1), "view", 1.0), (2, 1, t(0, 2), "view", 2.0), (3, 1, t(5, 0), "view", 4.0)]
     got = stream(spark, tmp_path, [rows], windowed_counts)
     assert [(r.window_start, r.n, r.total) for r in got] == [(t(0, 0), 2, 3.0)]
+
+
+def test_markdown_rows(spark, tmp_path):
+    put(tmp_path / "s.md", "# 目录\n| 章 | 段 |\n|----|:--:|\n| 1 | a b |\n正文\n")
+    assert [r.cells for r in S.markdown_rows(spark, str(tmp_path / "s.md")).orderBy("line_no").collect()] == [["章", "段"], ["1", "a b"]]

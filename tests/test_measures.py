@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkwell.operators import bank as B
 from inkwell.operators import evaluate as V
 from inkwell.operators import quality as Q
-from inkwell.plans.measures import BIRTH, intent_of
+from inkwell.operators.intents import BIRTH, intent_of, intent_pins, pinned_by_intent
 
 
 def test_nearest_rank_with_a_hot_group_and_ties(spark):
@@ -142,3 +142,55 @@ def test_edit_neighbours_equal_brute_force(spark):
     df = bank(spark, rows)
     got = {(r.qid, r.id) for r in B.close_in_edits(df, df).collect()}
     assert got == {(i, j) for i, a in rows for j, b in rows if 1 - lev(a, b) / max(len(a), len(b)) >= 0.9}
+
+
+PEOPLE = [("death", "关羽", 10), ("death", "关羽", 12), ("speech", "关羽", 11), ("death", "张飞", 20), ("birth", "刘备", 30)]
+
+
+@pytest.mark.parametrize(
+    ("text", "pins", "direction"),
+    [
+        ("关羽怎么死的", {10, 12}, 1), ("关羽死后怎样", {10, 12}, -1), ("关羽临终遗言", {11}, 0), ("张飞临终遗言", {20}, 0), ("关羽死时几岁", {10, 11, 12}, 1),
+        ("刘备第一次出场", {30}, 1), ("关羽吃饭", set(), None), ("曹操怎么死的", set(), None), ("云长怎么死的", {10, 12}, 1),
+    ],
+)
+def test_intent_pins(spark, text, pins, direction):
+    q = spark.createDataFrame([(1, text)], "qid bigint, text string")
+    people = spark.createDataFrame(PEOPLE, "kind string, person string, doc bigint")
+    expanded = spark.createDataFrame([(1, "关羽")] if "云长" in text else [], "qid bigint, person string")
+    rows = intent_pins(q, people, expanded).collect()
+    assert {r.doc for r in rows} == pins and {r.direction for r in rows} <= {direction}
+
+
+def test_pinned_by_intent(spark):
+    pool = spark.createDataFrame([(1, 5, 0.9), (1, 7, 0.1), (1, 3, 0.2), (2, 3, 0.1), (2, 7, 0.5), (2, 5, 0.9)], "qid bigint, doc bigint, score double")
+    pins = spark.createDataFrame([(1, 7, -1), (1, 3, -1), (1, 99, -1), (2, 3, 0), (2, 7, 0)], "qid bigint, doc bigint, direction int")
+    got = [(r.qid, r.doc) for r in pinned_by_intent(pool, pins).orderBy("qid", "rank").collect()]
+    assert got == [(1, 7), (1, 3), (1, 5), (2, 7), (2, 3), (2, 5)]
+
+
+def test_chapter_rank(spark):
+    items = spark.createDataFrame([(1, [3, 4]), (2, [9]), (3, [])], "qid bigint, chapters array<int>")
+    ranked = spark.createDataFrame([(1, 7, 1), (1, 4, 2), (1, 3, 3), (2, 1, 1)], "qid bigint, chapter int, rank int")
+    assert {(r.qid, r.chapter_rank) for r in V.chapter_rank(items, ranked).collect()} == {(1, 2), (2, 0), (3, 0)}
+
+
+def test_sets_of_runs(spark):
+    runs = spark.createDataFrame([("group-x-2024",), ("group-2024",), ("other",)], "run_id string")
+    reg = spark.createDataFrame([("g", "group-"), ("gx", "group-x-")], "set_id string, prefix string")
+    assert {tuple(r) for r in V.sets_of_runs(runs, reg, "d").collect()} == {("group-x-2024", "gx"), ("group-2024", "g"), ("other", "d")}
+
+
+def test_runs_are_single_flight_and_can_be_stopped(spark):
+    import time
+
+    from inkwell.api import Runs
+
+    runs = Runs(spark)
+    assert runs.state == "idle" and not runs.abort()
+    slow = lambda: spark.range(0, 10**12, numPartitions=8).selectExpr("max(hash(id, id))").collect()
+    assert runs.start("r1", slow) and not runs.start("r2", slow)
+    time.sleep(1.5)
+    assert runs.abort() and runs.wait(60) == "aborted"
+    assert runs.start("r3", lambda: spark.range(5).count()) and runs.wait(60) == "done"
+    assert runs.start("r4", lambda: 1 / 0) and runs.wait(60) == "failed" and "zero" in runs.error
