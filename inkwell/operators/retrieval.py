@@ -59,7 +59,8 @@ def bm25(queries: DataFrame, chunks: DataFrame, distinct: bool = False, extra: D
     if extra is not None:
         more = extra.join(chunks.where("role = 'body'").select("doc", X.token_count("text").alias("len")), "doc").join(wanted, "term", "left_semi")
         post = post.unionByName(more.select("doc", "len", "term", "tf")).groupBy("doc", "len", "term").agg(F.sum("tf").alias("tf"))
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # tf is read here too, so that both uses need the same columns and share one shuffle of the postings
+    df = post.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     weighted = asked.join(df, "term").crossJoin(F.broadcast(corpus_stats(chunks))).select("qid", "term", "times", idf.alias("idf"), "avg_len")  # one row

@@ -70,7 +70,7 @@ def spread(df: DataFrame) -> DataFrame:
     are, and a frame that already has a shuffle behind it is left alone: looking at it here would run it.
     """
     execution = df._jdf.queryExecution()
-    if execution.executedPlan().toString().startswith("AdaptiveSparkPlan"):
+    if any(word in execution.executedPlan().toString() for word in ("AdaptiveSparkPlan", "Exchange", "Subquery")):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * execution.toRdd().getNumPartitions() <= cores else df
