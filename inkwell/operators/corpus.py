@@ -160,13 +160,22 @@ def chunk_ids(source: str, blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("parent_id", parent).withColumn("chunk_id", F.format_string("%s:c%02d", "parent_id", "seq"))
 
 
-def in_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+def adjoining_ranges(rows: DataFrame, size: int = 10) -> DataFrame:
+    """(group_id, chapter, seg_start, seg_end): ranges of ``size`` segments side by side, from 1 up to the largest
+    segment that ``rows(chapter, segment_no)`` have in the chapter; a chapter without a segment has none."""
+    last = rows.where("chapter is not null and segment_no >= 1").groupBy("chapter").agg(F.max("segment_no").alias("last"))
+    starts = last.select("chapter", F.explode(F.sequence(F.lit(1), "last", F.lit(size))).alias("seg_start"))
+    return starts.select(F.format_string("g%04d-%03d", "chapter", "seg_start").alias("group_id"), "chapter", "seg_start", (F.col("seg_start") + size - 1).alias("seg_end"))
+
+
+def in_ranges(rows: DataFrame, ranges: DataFrame, how: str = "inner") -> DataFrame:
     """Rows with the group whose range of segments holds them: ranges are unrolled, so the join is on equality.
 
-    ``rows(chapter, segment_no, ..)``, ``ranges(group_id, chapter, seg_start, seg_end)``.
+    ``rows(chapter, segment_no, ..)``, ``ranges(group_id, chapter, seg_start, seg_end)``. With ``how`` "left" rows
+    outside all ranges stay, with a null group_id.
     """
     unrolled = ranges.where("seg_start <= seg_end").select("group_id", "chapter", F.explode(F.sequence("seg_start", "seg_end")).alias("segment_no"))
-    return rows.join(unrolled, ["chapter", "segment_no"])
+    return rows.join(unrolled, ["chapter", "segment_no"], how)
 
 
 def adjacent_chapters(present: DataFrame) -> DataFrame:

@@ -173,6 +173,16 @@ def interval_group_join(spark: SparkSession, d: str) -> DataFrame:
     return C.in_ranges(rows, ranges).select("doc", "group_id")
 
 
+def context_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk with its context group of ten segments: the ranges adjoin and reach each chapter's last segment.
+
+    Chunks without a segment number (null or malformed ids) or chapter are kept with a null group.
+    """
+    segment = F.when(F.col("chunk_id").rlike(X.CHUNK_ID), F.regexp_extract("chunk_id", X.CHUNK_ID, 2).cast("int"))
+    rows = chunks(spark, d).select("doc", "chapter", segment.alias("segment_no"))
+    return C.in_ranges(rows, C.adjoining_ranges(rows), "left").select("doc", "group_id")
+
+
 def adjacent_chapters(spark: SparkSession, d: str) -> DataFrame:
     return C.adjacent_chapters(chunks(spark, d))
 
@@ -274,7 +284,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         hit_at_k, cover_at_5, compare_runs, top10_overlap, rank_changes, anchor_extract, anchor_match, no_anchor, dice_topk, hash_vector_cosine, route_known, fnv_hash,
-        lexical_similarity, bank_form, intent_class, body_lines, verse_cascade, line_kinds, block_packing, packed_concat, parent_concat_check, interval_group_join,
+        lexical_similarity, bank_form, intent_class, body_lines, verse_cascade, line_kinds, block_packing, packed_concat, parent_concat_check, interval_group_join, context_groups,
         adjacent_chapters, chapter_payload, inner_order, cn_numerals, clause_metrics, quote_balance, corpus_invariants, percentile_nearest, ratio_of_sums, fill_forward,
         session_ttl, dedupe_first_wins, content_hash, json_features, coverage_by_source, time_keys,
     )

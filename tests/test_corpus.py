@@ -84,6 +84,18 @@ def test_ranges_and_neighbours(spark):
     assert {(r.chapter, r.prev, r.next) for r in C.adjacent_chapters(present).collect()} == {(1, None, 2), (2, 1, None), (119, None, None)}
 
 
+def test_every_chunk_has_its_context_group(spark, tmp_path):
+    from inkwell.plans.measures import QUERIES
+
+    ids = [(1, f"s:0001:p{i:04d}:c01") for i in range(1, 1201)] + [(2, "s:0002:p0012:c01"), (2, "s:0002:p0012:c02"), (3, "s:0003:p0000:c01"), (3, "bad"), (3, None), (None, "s:0004:p0001:c01")]
+    rows = [(i, c, None, None, "s", ch, None, "prose", "body", "x", None) for i, (ch, c) in enumerate(ids)]
+    names = "row_id bigint, chunk_id string, parent_id string, seq_in_parent int, source string, chapter int, title string, chunk_type string, chunk_role string, text string, group_id string"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/sanguo_yanyi.parquet")
+    got = sorted((r.doc, r.group_id) for r in QUERIES["context_groups"](spark, str(tmp_path)).collect())
+    want = [(i, f"g0001-{i // 10 * 10 + 1:03d}") for i in range(1200)] + [(1200, "g0002-011"), (1201, "g0002-011")] + [(i, None) for i in range(1202, 1206)]
+    assert got == want
+
+
 def test_ids(spark):
     df = spark.createDataFrame([(7, 12, 3)], "chapter int, segment_no int, seq int")
     r = C.chunk_ids("s", df).first()
