@@ -193,13 +193,14 @@ def collection_counts(df: DataFrame, text_col: str, names: list[str]) -> DataFra
 SCORES = "row_id bigint, chunk_id string, term string, is_name boolean, tf int, score double, own_part double, rank int"
 
 
-def characteristic_terms(df: DataFrame, names: list[str], only_names: bool = False, least_part: float = 0.5, with_rank: bool = True, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def characteristic_terms(df: DataFrame, names: list[str], only_names: bool = False, least_part: float = 0.0, with_rank: bool = True, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Scores of the terms of every row of ``df(row_id, chunk_id, text)``.
 
     Columns: row_id, chunk_id, term, is_name, tf, score (the converged probability in the record's own
     model), own_part (the part of its occurrences that model explains), rank within the row (ties by term
-    key; null without ``with_rank``). Terms the collection explains (``own_part`` under ``least_part``) are left out, as the method
-    removes them; with ``only_names`` every dictionary name of a row is kept whatever its score.
+    key; null without ``with_rank``). Every term comes out, those the collection explains with a score near zero and a
+    low rank; a caller's ``least_part`` leaves out terms whose ``own_part`` is under it. With ``only_names`` every
+    dictionary name of a row is kept whatever its score, and nothing else.
     The background is broadcast while it fits ``broadcast_bytes``, beyond that it is joined by term.
     Null and empty texts have no terms; repeated rows are scored each; a null chunk_id stays null.
     """
@@ -224,20 +225,22 @@ def characteristic_terms(df: DataFrame, names: list[str], only_names: bool = Fal
             return None
         return *_counted(all_rows, np.concatenate([key, named | NAME])), start, end
 
-    def spell(texts: list[str], wanted: np.ndarray, keys: np.ndarray, first: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
+    def spell(texts: list[str], wanted: np.ndarray, keys: np.ndarray, first: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
         """The terms of ``wanted`` indexes into ``keys``; each is spelled once."""
-        used, back = np.unique(wanted, return_inverse=True)
+        there = np.zeros(len(keys), bool)
+        there[wanted] = True
+        used, place = np.flatnonzero(there), np.cumsum(there) - 1
         whole = "".join(texts)
         words = [shared_names.value[k ^ NAME] if k & NAME and not k & WORD else whole[start[a] : end[a]].lower() for k, a in zip(keys[used].tolist(), first[used].tolist(), strict=True)]
-        return [words[i] for i in back.tolist()]
+        return pa.array(words, pa.string()).take(pa.array(place[wanted]))
 
     def select(p: np.ndarray, part: np.ndarray, key: np.ndarray) -> np.ndarray:
         named = (key & NAME != 0) & (key & WORD == 0)
         return named if only_names else part >= least_part
 
-    def ranked(row: np.ndarray, p: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Ranks by probability to twelve digits, then key; ``row`` and ``key`` are sorted."""
-        order = np.lexsort((key, -np.round(p, 12), row))
+    def ranked(row: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Ranks by probability to twelve digits, then key; the terms come sorted by row and key, and the sort is stable."""
+        order = np.lexsort((-np.round(p, 12), row))
         sorted_rows = row[order]
         starts = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
         rank = np.empty(len(row), np.int32)
@@ -262,11 +265,11 @@ def characteristic_terms(df: DataFrame, names: list[str], only_names: bool = Fal
                     keep = np.flatnonzero(select(p, part, k))
                     if not len(keep):
                         continue
-                    rank = ranked(r, p, k) if with_rank else None
+                    rank = ranked(r, p) if with_rank else None
                     where = pa.array(r[keep].astype(np.int64) + first)
                     out["row_id"].append(ids.take(where))
                     out["chunk_id"].append(chunks.take(where))
-                    out["term"].append(pa.array(spell(texts, t[keep], own_keys, seen, start, end), pa.string()))
+                    out["term"].append(spell(texts, t[keep], own_keys, seen, start, end))
                     out["is_name"].append(pa.array((k[keep] & NAME != 0) & (k[keep] & WORD == 0)))
                     out["tf"].append(pa.array(tf[keep].astype(np.int32)))
                     out["score"].append(pa.array(p[keep]))
@@ -293,7 +296,7 @@ def characteristic_terms(df: DataFrame, names: list[str], only_names: bool = Fal
                 where = pa.array(r.astype(np.int64) + first)
                 for n, i in (("row_id", 0), ("chunk_id", 1), ("uid", 3)):
                     cols[n].append(batch.column(i).take(where))
-                cols["term"].append(pa.array(spell(texts, t, own_keys, seen, start, end), pa.string()))
+                cols["term"].append(spell(texts, t, own_keys, seen, start, end))
                 cols["key"].append(pa.array(own_keys[t]))
                 cols["tf"].append(pa.array(tf.astype(np.int32)))
             if not cols["key"]:
@@ -320,7 +323,7 @@ def characteristic_terms(df: DataFrame, names: list[str], only_names: bool = Fal
                 tf = np.asarray([t["tf"] for t in items], np.int64)
                 r = np.zeros(len(k), np.int32)
                 p, part = converge(r, tf, np.asarray([t["cf"] for t in items]) / total)
-                rank = ranked(r, p, k)  # a record at a time: cheap
+                rank = ranked(r, p)  # a record at a time: cheap
                 for i in np.flatnonzero(select(p, part, k)):
                     named = bool(k[i] & NAME) and not k[i] & WORD
                     out.append((row_id, chunk_id, items[i]["term"], named, int(tf[i]), float(p[i]), float(part[i]), int(rank[i])))

@@ -46,6 +46,20 @@ def test_common_terms_lose_their_mass(spark):
     assert "麟" in best.term or "麒" in best.term
 
 
+@pytest.mark.parametrize("broadcast_bytes", [T.BROADCAST_BYTES, 0])
+def test_common_terms_come_out_and_rank_low(spark, broadcast_bytes):
+    rows = [(i, f"c{i}", "天下大事天下大事" + ("麒麟" if i == 3 else "")) for i in range(40)]
+    got = T.characteristic_terms(frame(spark, rows), ["麒麟", "天下"], broadcast_bytes=broadcast_bytes).collect()
+    for i in range(40):
+        own = {(r.term, r.is_name): r for r in got if r.row_id == i}
+        pairs = {"天下", "下大", "大事", "事天"} | ({"事麒", "麒麟"} if i == 3 else set())
+        assert set(own) == {(p, False) for p in pairs} | {("天下", True)} | ({("麒麟", True)} if i == 3 else set())
+        assert sorted(r.rank for r in own.values()) == list(range(1, len(own) + 1))
+        assert sum(r.score for r in own.values()) == pytest.approx(1)
+    third = {(r.term, r.is_name): r for r in got if r.row_id == 3}
+    assert third["天下", True].own_part < 0.5 and third["天下", True].rank > third["麒麟", True].rank
+
+
 def test_term_keys_tokens():
     texts = ["Tom's 中国人 ab", "", "人", "中国"]
     row, key, start, end = T.term_keys(texts)
