@@ -65,12 +65,26 @@ def rank_changes(spark: SparkSession, d: str) -> DataFrame:
     return V.rank_changes(_ranking(spark, d), _ranking(spark, d, 16), _relevant(spark, d)[0], 10)
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("item"), "text")
+
+
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("doc_id % 100 = 0 and text is not null").select(F.col("doc_id").alias("item"), "text")
+    return _texts(spark, d).where("item % 100 = 0")
+
+
+def _anchors(texts: DataFrame) -> DataFrame:
+    return texts.select("item", F.explode(V.text_anchors("text")).alias("anchor"))
 
 
 def anchor_extract(spark: SparkSession, d: str) -> DataFrame:
-    return _evidence(spark, d).select("item", F.explode(V.text_anchors("text")).alias("anchor"))
+    """Anchors of the query set."""
+    return _anchors(_evidence(spark, d))
+
+
+def anchors_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors of every document."""
+    return _anchors(_texts(spark, d))
 
 
 def _forms(spark: SparkSession, d: str) -> DataFrame:
@@ -283,7 +297,7 @@ def time_keys(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        hit_at_k, cover_at_5, compare_runs, top10_overlap, rank_changes, anchor_extract, anchor_match, no_anchor, dice_topk, hash_vector_cosine, route_known, fnv_hash,
+        hit_at_k, cover_at_5, compare_runs, top10_overlap, rank_changes, anchor_extract, anchors_of_all, anchor_match, no_anchor, dice_topk, hash_vector_cosine, route_known, fnv_hash,
         lexical_similarity, bank_form, intent_class, body_lines, verse_cascade, line_kinds, block_packing, packed_concat, parent_concat_check, interval_group_join, context_groups,
         adjacent_chapters, chapter_payload, inner_order, cn_numerals, clause_metrics, quote_balance, corpus_invariants, percentile_nearest, ratio_of_sums, fill_forward,
         session_ttl, dedupe_first_wins, content_hash, json_features, coverage_by_source, time_keys,

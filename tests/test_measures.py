@@ -74,6 +74,15 @@ def test_anchors(spark):
     assert set(r.a) == {"甲乙丙", "长句一二三四短句", "长句一二三四", "后半句子五六七"}
 
 
+def test_anchors_of_all_documents(spark, tmp_path):
+    from inkwell.plans.measures import QUERIES
+
+    rows = [(0, "“甲乙丙”"), (1, "“丁戊，己庚辛壬”"), (99, "没有"), (100, None), (101, "“甲乙丙”说“甲乙丙”"), (250, "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["anchors_of_all"](spark, str(tmp_path)).collect())
+    assert got == sorted([(0, "甲乙丙"), (1, "丁戊己庚辛壬"), (1, "己庚辛壬"), (101, "甲乙丙")])
+
+
 def test_first_anchor(spark):
     items = spark.createDataFrame([("i", "毒已入骨"), ("j", "没有")], "item string, anchor string")
     entries = spark.createDataFrame([(2, "其毒已入骨矣"), (5, "毒已入骨")], "rank int, form string")
