@@ -59,10 +59,14 @@ def close_in_edits(queries: DataFrame, bank: DataFrame, least: float = ROUTE) ->
     return q.join(b, "len").select("qid", "id", sim.alias("similarity")).where(F.col("similarity") >= least)
 
 
-def route(queries: DataFrame, bank: DataFrame, least: float = ROUTE) -> DataFrame:
-    """(qid, vector_similarity, known): whether a bank row is near enough by vector or by edits."""
-    best = hashed_similarity(queries, bank).groupBy("qid").agg(F.max("similarity").alias("best"))
-    near = close_in_edits(queries, bank, least).select("qid", F.lit(True).alias("near")).distinct()
+def route(queries: DataFrame, bank: DataFrame, least: float = ROUTE, own: bool = False) -> DataFrame:
+    """(qid, vector_similarity, known): whether a bank row is near enough by vector or by edits.
+
+    With ``own`` the queries are rows of the bank, and a query doesn't meet the row with its own id.
+    """
+    others = (lambda df: df.where("qid <> id")) if own else lambda df: df
+    best = others(hashed_similarity(queries, bank)).groupBy("qid").agg(F.max("similarity").alias("best"))
+    near = others(close_in_edits(queries, bank, least)).select("qid", F.lit(True).alias("near")).distinct()
     joined = queries.select(F.col("id").alias("qid")).join(best, "qid", "left").join(near, "qid", "left")
     vector = F.greatest(F.lit(0.0), F.coalesce("best", F.lit(0.0)))
     return joined.select("qid", X.fixed(vector, 6).alias("vector_similarity"), (F.coalesce("near", F.lit(False)) | (vector >= least - 1e-9)).alias("known"))

@@ -134,6 +134,16 @@ def test_dice_and_route(spark):
     assert known == {9: True, 8: False, 7: True}
 
 
+def test_route_known_meets_every_other_row(spark, tmp_path):
+    from inkwell.plans.measures import QUERIES
+
+    rows = [(100, "诸葛亮的字是什么？"), (200, "诸葛亮的字是什么"), (300, "刘备生于何年何月"), (301, "完全不同的一句话"), (400, "赤壁之战谁放的火"), (7, "赤壁之战谁放的火"), (500, None)]
+    spark.createDataFrame(rows, "question_id bigint, question string").write.parquet(f"{tmp_path}/event_question_pool.parquet")
+    got = {r.qid: (r.known, r.vector_similarity) for r in QUERIES["route_known"](spark, str(tmp_path)).collect()}
+    assert {k for k, (known, _) in got.items() if known} == {100, 200, 400} and set(got) == {100, 200, 300, 400}
+    assert got[100][1] == got[200][1] == got[400][1] == 1.0 and got[300][1] < 0.9
+
+
 def test_edit_neighbours_equal_brute_force(spark):
     rnd = random.Random(6)
     words = ["".join(rnd.choice("abcd") for _ in range(rnd.randrange(8, 26))) for _ in range(40)]
