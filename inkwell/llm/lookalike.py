@@ -125,8 +125,8 @@ class Transducer:
         near, far = {c for c in singles if c < "\U00010000"}, quoted(c for c in singles if c >= "\U00010000") or "\U0010ffff"
         # (a class of the basic plane compiles to a bit table; one that also holds far code points is searched item by item)
         self._plain = re.compile(f"[{quoted(near - set(INVISIBLE) - {chr(13)})}]")
-        #: whether a text has anything that attaches, joins into a sequence, or a two-part line end
-        self._joined = re.compile(f"[{attached}{follow}\r]")
+        #: whether a text has anything that attaches, joins into a sequence, or a two-part line end, or a code point that _plain lacks
+        self._joined = re.compile(f"[{attached}{follow}\r]|[{far[0]}-{far[-1]}]")
         self._cluster = re.compile(f"\r\n|[^{attached}][{attached}]+[{follow}]?|[{firsts}][{follow}]|[{quoted(near | marks)}][{attached}]*|[{far[0]}-{far[-1]}][{attached}]*")
         self._memo: dict[str, str] = {"\r\n": "\n"}
 

@@ -57,6 +57,15 @@ def test_one_pass_equals_the_transducer_cluster_by_cluster():
     assert t.apply(text) == t.apply("Ｌｕǒ‍，ガ㋐ ｶﾞ がเเ ") * 30
 
 
+def test_ideographs_beyond_the_basic_plane_need_no_mark_beside_them():
+    m = L.build_mapping()
+    far = [c for c in m if len(c) == 1 and c >= "\U00010000"]
+    assert {chr(0x2F800), chr(0x2FA1D)} <= set(far)
+    for c in far:
+        assert L.canonical(f"天{c}地") == f"天{m[c]}地" == L.canonical(f"天{ud.normalize('NFC', c)}地"), ascii(c)
+        assert L.canonical(f"天{c}地é") == f"天{m[c]}地é"
+
+
 def test_null_and_empty():
     assert L.canonical(None) is None and L.canonical("") == ""
 
