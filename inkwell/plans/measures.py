@@ -219,6 +219,13 @@ def cn_numerals(spark: SparkSession, d: str) -> DataFrame:
     return counted.where(F.col("numeral").rlike(STANDARD)).select("numeral", "times", X.cn2int("numeral").alias("value"))
 
 
+def numeral_runs(spark: SparkSession, d: str) -> DataFrame:
+    """All numerals in the texts, single characters and long runs included: whole runs, of which STANDARD tells the numerals."""
+    found = chunks(spark, d).where("text is not null").select(F.explode(F.regexp_extract_all("text", F.lit("[零〇一二两三四五六七八九十百]+"), F.lit(0))).alias("numeral"))
+    counted = found.groupBy("numeral").agg(F.count(F.lit(1)).alias("times"))
+    return counted.where(F.translate("numeral", "〇", "零").rlike(STANDARD)).select("numeral", "times", X.cn2int("numeral").alias("value"))
+
+
 STANDARD = "^([一二两三四五六七八九]百)?零?([一二两三四五六七八九]?十)?[一二两三四五六七八九]?$"
 
 
@@ -298,7 +305,7 @@ QUERIES = {
     for f in (
         hit_at_k, cover_at_5, compare_runs, top10_overlap, rank_changes, anchor_extract, anchors_of_all, anchor_match, no_anchor, dice_topk, hash_vector_cosine, route_known, fnv_hash,
         lexical_similarity, bank_form, intent_class, body_lines, verse_cascade, line_kinds, block_packing, packed_concat, parent_concat_check, interval_group_join, context_groups,
-        adjacent_chapters, chapter_payload, inner_order, cn_numerals, clause_metrics, quote_balance, corpus_invariants, percentile_nearest, ratio_of_sums, fill_forward,
+        adjacent_chapters, chapter_payload, inner_order, cn_numerals, numeral_runs, clause_metrics, quote_balance, corpus_invariants, percentile_nearest, ratio_of_sums, fill_forward,
         session_ttl, dedupe_first_wins, content_hash, json_features, coverage_by_source, time_keys,
     )
 }

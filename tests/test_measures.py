@@ -163,6 +163,17 @@ def test_edit_neighbours_equal_brute_force(spark):
     assert got == {(i, j) for i, a in rows for j, b in rows if 1 - lev(a, b) / max(len(a), len(b)) >= 0.9}
 
 
+def test_numeral_runs_are_whole(spark, tmp_path):
+    from inkwell.plans.measures import QUERIES
+
+    texts = ["三人行，一百二十三里；一百〇五", "三、十", "一二三四五六七，一百二十三四五六", None, "〇"]
+    rows = [(i, "c", None, None, "s", 1, None, "prose", "body", t, None) for i, t in enumerate(texts)]
+    names = "row_id bigint, chunk_id string, parent_id string, seq_in_parent int, source string, chapter int, title string, chunk_type string, chunk_role string, text string, group_id string"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/sanguo_yanyi.parquet")
+    got = {tuple(r) for r in QUERIES["numeral_runs"](spark, str(tmp_path)).collect()}
+    assert got == {("三", 2, 3), ("一百二十三", 1, 123), ("一百〇五", 1, 105), ("十", 1, 10), ("〇", 1, 0)}
+
+
 PEOPLE = [("death", "关羽", 10), ("death", "关羽", 12), ("speech", "关羽", 11), ("death", "张飞", 20), ("birth", "刘备", 30)]
 
 
