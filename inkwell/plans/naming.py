@@ -148,18 +148,26 @@ def pinned_order(spark: SparkSession, d: str) -> DataFrame:
     return ranked.where(F.col("rank") <= K).select("qid", "doc", "score", "pinned", "rank")
 
 
-def rerank_window(spark: SparkSession, d: str) -> DataFrame:
-    """A deterministic scorer (the text's length) inside the window of 50."""
-    ranked = R.pinned_order(search.pool(spark, d), pins(spark, d)).where("rank <= 60")
+def _windowed(spark: SparkSession, d: str, ranked: DataFrame) -> DataFrame:
     sized = ranked.join(chunks(spark, d).select("doc", F.length("text").alias("ce")), "doc")
     return R.rerank_window(sized, "ce").select("qid", "doc", "rank", "final_rank")
 
 
+def rerank_window(spark: SparkSession, d: str) -> DataFrame:
+    """A deterministic scorer (the text's length) inside the window of 50, over the first 60."""
+    return _windowed(spark, d, R.pinned_order(search.pool(spark, d), pins(spark, d)).where("rank <= 60"))
+
+
+def rerank_window_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the whole ranking: all rows beyond the window stay behind it."""
+    return _windowed(spark, d, R.pinned_order(search.pool(spark, d), pins(spark, d)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         entity_valid, entity_keys, key_multiplicity, alias_expand, alias_normalize, double_write_tf, bm25_expanded, group_valid, group_aliases, group_members,
-        missing_refs, drift_check, bridge_match, pool_union_cap, enhanced_rescore, person_dictionary, pinned_order, rerank_window,
+        missing_refs, drift_check, bridge_match, pool_union_cap, enhanced_rescore, person_dictionary, pinned_order, rerank_window, rerank_window_all,
     )
 }
 

@@ -1,4 +1,5 @@
 import math
+import os
 from collections import Counter
 
 import numpy as np
@@ -174,3 +175,20 @@ def test_containment_joins_hash(spark):
 def test_top_k_limits_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("qid"), F.col("id").alias("doc"), (F.col("id") % 17).cast("double").alias("score"))
     assert "WindowGroupLimit" in R.top_k(df, 5, F.desc("score"), F.col("doc"))._jdf.queryExecution().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_reranking_leaves_nothing_out(spark):
+    import __spark_entry__ as e
+    from inkwell.plans import search
+
+    d = "/root/testdata/sf0.01"
+    q = e.queries()
+    rows = q["rerank_window_all"](spark, d).collect()
+    pool = {(r.qid, r.doc) for r in search.pool(spark, d).select("qid", "doc").collect()}
+    assert {(r.qid, r.doc) for r in rows} == pool and len(rows) == len(pool) and any(r["rank"] > 60 for r in rows)
+    assert all(r["rank"] == r.final_rank for r in rows if r["rank"] > 50)
+    scored = q["rerank_scored_50"](spark, d).collect()
+    for qid in {r.qid for r in scored}:
+        own = [r for r in scored if r.qid == qid]
+        assert len(own) == 50 and {r["rank"] for r in own} == {r.final_rank for r in own} == set(range(1, 51)) and all(r.ce is not None for r in own)
