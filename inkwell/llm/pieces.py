@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.batches import map_batches
 from inkwell.llm.lookalike import INVISIBLE
-from inkwell.llm.sentences import BLANK, NEWLINE, Periods, sentence_units
+from inkwell.llm.sentences import BLANK, NEWLINE, Learned, Periods, lang_name, sentence_units
+from inkwell.llm.tokens import Encoder, _encoder, read_ranks
 
 LIMIT = 600  # the reference's cap, in code points
 OVERLAP = 60
@@ -65,6 +66,15 @@ def cut_points(text: str, boundaries: list[np.ndarray], sizes: np.ndarray | None
         start, reached = (begin if begin > start else end), end
 
 
+def token_sizes(text: str, encoder: Encoder) -> np.ndarray:
+    """How many tokens begin inside each code point of ``text``."""
+    width = np.asarray([len(encoder.bytes_of(i)) for i in encoder.encode(text)], np.int64)
+    begins = np.cumsum(width) - width
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    bytes_before = np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))
+    return np.bincount(np.searchsorted(bytes_before, begins, side="right"), minlength=len(text))
+
+
 def text_boundaries(text: str, known: Periods) -> tuple[list[np.ndarray], int]:
     """Boundary arrays by kind (ends of sentence units, ends of clauses, ends of blanks) and the size of
     the largest sentence unit."""
@@ -74,7 +84,7 @@ def text_boundaries(text: str, known: Periods) -> tuple[list[np.ndarray], int]:
     return [asc(e for _, e in units), asc(m.end() for m in _CLAUSE.finditer(text)), asc(m.end() for m in _GAP.finditer(text))], largest
 
 
-def split_oversized(df: DataFrame, known: Periods, limit: int = LIMIT, overlap: int = OVERLAP, with_text: bool = True) -> DataFrame:
+def split_oversized(df: DataFrame, known: Learned | Periods, limit: int = LIMIT, overlap: int = OVERLAP, with_text: bool = True, lang_col: str | None = None, tokenizer: str | None = None) -> DataFrame:
     """Pieces of every row whose ``text`` has more than ``limit`` code points, whatever ``char_count`` says.
 
     ``df``: row_id, parent_id, seq_in_parent, text. One row per piece: row_id, parent_id, seq_in_parent,
@@ -84,18 +94,27 @@ def split_oversized(df: DataFrame, known: Periods, limit: int = LIMIT, overlap:
     else they are hard, but never between a letter and its marks. A piece starts up to ``overlap`` code
     points before the end of the one before it, at a boundary if there is one. Null and short texts give no
     rows; null ``parent_id`` or ``seq_in_parent`` stay null; repeated rows are split each.
+    With ``tokenizer`` (the path of a public vocabulary file) ``limit`` and ``overlap`` are in its tokens, counted
+    where they begin; ``unit_over`` then stays in code points.
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must be under half of the limit")
     columns = ["row_id", "parent_id", "seq_in_parent"]
     schema = "row_id bigint, parent_id string, seq_in_parent int, piece_no int, piece_count int, start_pos int, end_pos int, cut_kind string, unit_over boolean, text string"
 
+    ranks = df.sparkSession.sparkContext.broadcast(read_ranks(tokenizer)) if tokenizer else None
+
     def make():
+        encoder = _encoder(ranks.value) if ranks else None
+
         def convert(batch: pa.RecordBatch) -> dict | None:
             out: list[tuple] = []
-            for *keys, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                boundaries, largest = text_boundaries(text, known)
-                pieces = cut_points(text, boundaries, limit=limit, overlap=overlap)
+            for *keys, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sizes = token_sizes(text, encoder) if encoder else None
+                if sizes is not None and sizes.sum() <= limit:
+                    continue
+                boundaries, largest = text_boundaries(text, known.of(lang, text))
+                pieces = cut_points(text, boundaries, sizes, limit, overlap)
                 over = largest > limit
                 out += [(*keys, no, len(pieces), a, b, kind, over, text[a:b] if with_text else None) for no, (a, b, kind) in enumerate(pieces, 1)]
             if not out:
@@ -105,8 +124,9 @@ def split_oversized(df: DataFrame, known: Periods, limit: int = LIMIT, overlap:
 
         return convert
 
-    big = df.where(F.char_length("text") > limit).select(F.col("row_id").cast("bigint").alias("row_id"), "parent_id", F.col("seq_in_parent").cast("int").alias("seq_in_parent"), "text")
-    return map_batches(big.select(*columns, "text"), schema, make)
+    # a token has at least one byte
+    big = df.where((F.octet_length if tokenizer else F.char_length)("text") > limit).select(F.col("row_id").cast("bigint").alias("row_id"), "parent_id", F.col("seq_in_parent").cast("int").alias("seq_in_parent"), (lang_name(F.col(lang_col)) if lang_col else F.lit("")).alias("lang"), "text")
+    return map_batches(big.select(*columns, "lang", "text"), schema, make)
 
 
 def oversized_kinds(pieces: DataFrame) -> DataFrame:

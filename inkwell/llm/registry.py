@@ -31,7 +31,7 @@ def p2_canonical_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "sanguo_yanyi")
-    return sentences.sentence_ends(chunks, "row_id", "text", sentences.learn_periods(chunks, "text"))
+    return sentences.sentence_ends(chunks, "row_id", "text", sentences.learn_periods(chunks, "text", "source"), "source")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
     chunks = table(spark, sf_dir, "sanguo_yanyi")
-    return pieces.split_oversized(chunks, sentences.learn_periods(chunks, "text"), with_text=with_text)
+    return pieces.split_oversized(chunks, sentences.learn_periods(chunks, "text", "source"), with_text=with_text, lang_col="source")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,13 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir, with_text=True)
 
 
+def p5_token_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of more than 512 tokens as pieces of at most 512 with an overlap of up to 64."""
+    chunks = table(spark, sf_dir, "sanguo_yanyi")
+    learned = sentences.learn_periods(chunks, "text", "source")
+    return pieces.split_oversized(chunks, learned, 512, 64, lang_col="source", tokenizer=tokens.tokenizer_path())
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -112,6 +119,7 @@ QUERIES = {
     "p4_terms": p4_terms,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p5_token_pieces": p5_token_pieces,
     "p6_ids": p6_ids,
     "p6_decoded": p6_decoded,
     "p7_mix": p7_mix,

@@ -203,6 +203,9 @@ class Encoder:
             out += ids
         return out
 
+    def bytes_of(self, token: int) -> bytes:
+        return self._bytes[token]
+
     def decode(self, ids: list[int]) -> str:
         """Text of ids; an incremental UTF-8 machine carries characters over token borders."""
         machine = codecs.getincrementaldecoder("utf-8")(errors="replace")

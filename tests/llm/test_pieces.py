@@ -83,3 +83,21 @@ def test_empty_and_bad_overlap(spark):
 def test_very_long_text(spark):
     out = split(spark, [(1, "p", 1, "很长的一句话，没有尽头。" * 30_000, 0, 0)], with_text=False)
     assert out[-1].end_pos == 360_000 and max(r.end_pos - r.start_pos for r in out) <= 600
+
+
+def test_token_sizes_and_pieces(spark):
+    from inkwell.llm import tokens as K
+
+    path = K.tokenizer_path()
+    encoder = K.Encoder(K.read_ranks(path))
+    for t in ("Sun Quan's 孙权，走！\U0001f409\U0002070e x", "", "a", "鑫" * 5):
+        sizes = P.token_sizes(t, encoder)
+        assert len(sizes) == len(t) and sizes.sum() == len(encoder.encode(t))
+    text = "孙权领兵渡江，众人皆惊。He left at dawn! " * 60
+    out = split(spark, [(1, "p", 1, text, 0, 0), (2, "p", 1, "short", 0, 0), (3, "p", 1, None, 0, 0)], limit=100, overlap=10, tokenizer=path)
+    sizes = P.token_sizes(text, encoder)
+    assert {r.row_id for r in out} == {1} and out[0].piece_count == len(out) > 5
+    for a, b in zip(out, out[1:]):
+        assert a.start_pos < b.start_pos <= a.end_pos and sizes[b.start_pos : a.end_pos].sum() <= 10
+    assert all(sizes[r.start_pos : r.end_pos].sum() <= 100 and text[r.start_pos : r.end_pos] == r.text for r in out)
+    assert out[0].start_pos == 0 and out[-1].end_pos == len(text)
