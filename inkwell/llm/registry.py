@@ -40,13 +40,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record's own terms, ranked, with the dictionary's names among them."""
-    chunks = table(spark, sf_dir, "sanguo_yanyi")
-    names = terms.Names(table(spark, sf_dir, "entity_table"), "canonical")
-    parts = [terms.characteristic_terms(chunks, block) for block in names.each()]
-    first, *rest = parts
-    for p in rest:  # letter pairs and words come with the first block
-        first = first.unionByName(p.where("is_name"))
-    return first
+    return terms.characteristic_terms(table(spark, sf_dir, "sanguo_yanyi"), terms.Names(table(spark, sf_dir, "entity_table"), "canonical"))
+
+
+def p4_terms_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by joins in blocks, as it runs where the background is too large for a broadcast."""
+    return terms.characteristic_terms(table(spark, sf_dir, "sanguo_yanyi"), terms.Names(table(spark, sf_dir, "entity_table"), "canonical"), broadcast_bytes=0)
 
 
 def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
@@ -117,6 +116,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_terms": p4_terms,
+    "p4_terms_joined": p4_terms_joined,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p5_token_pieces": p5_token_pieces,

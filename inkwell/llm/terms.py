@@ -1,8 +1,10 @@
 """How characteristic each term is of its record: a parsimonious language model.
 
 A record's words are a mixture of its own model and the collection's. Expectation-maximisation moves the
-mass of what the collection explains out of the record's model, so common terms end near zero and rare ones
-keep their share; the converged probabilities rank the record's terms. Terms are overlapping pairs of
+mass of what the collection explains out of the record's model, so common terms end at zero and rare ones
+keep their share; the converged probabilities rank the record's terms. The rounds go to the exact fixed point:
+in each, terms whose whole count the collection explains leave a record's model for good and the others'
+probabilities are maximised together, until no term leaves. Terms are overlapping pairs of
 letters in scripts without spaces, words in scripts with spaces, and the names of a dictionary wherever
 they stand, also inside longer names.
 """
@@ -12,6 +14,7 @@ from __future__ import annotations
 import unicodedata as ud
 from collections.abc import Iterator
 from functools import cache, reduce
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -20,13 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.batches import map_batches
+from inkwell.llm.blocks import in_blocks, with_answers
 from inkwell.runtime import BROADCAST_BYTES, cut
 
 SHARE = 0.1  # of the record's own model in the mixture
-ROUNDS = 40
-TOLERANCE = 1e-5
 WORD, NAME = 1 << 62, 1 << 61  # marks of keys that aren't letter pairs
-SLICE = 1_000_000  # code points handled at once inside a batch
+SLICE = 250_000  # code points handled at once inside a batch; their arrays stay in the processor's cache
 _ROW_BYTES = 24
 
 
@@ -75,10 +77,10 @@ def term_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     )
 
 
-def _automaton(names: list[str]) -> ahocorasick.Automaton | None:
+def _automaton(names: list[tuple[int, str]]) -> ahocorasick.Automaton | None:
     machine = ahocorasick.Automaton()
-    for i, n in enumerate(names):
-        machine.add_word(n, i)
+    for key, n in names:
+        machine.add_word(n, key)
     if not names:
         return None
     machine.make_automaton()
@@ -86,15 +88,12 @@ def _automaton(names: list[str]) -> ahocorasick.Automaton | None:
 
 
 def name_hits(texts: list[str], machine: ahocorasick.Automaton | None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, name index) of every occurrence, overlapping ones included."""
+    """(row, name key) of every occurrence, overlapping ones included."""
     if machine is None:
         return np.empty(0, np.int32), np.empty(0, np.int64)
-    rows, found = [], []
-    for r, t in enumerate(texts):
-        before = len(found)
-        found += [i for _, i in machine.iter(t)]
-        rows += [r] * (len(found) - before)
-    return np.asarray(rows, np.int32), np.asarray(found, np.int64)
+    found = [[k for _, k in machine.iter(t)] for t in texts]
+    rows = np.repeat(np.arange(len(texts), dtype=np.int32), [len(f) for f in found])
+    return rows, np.fromiter(chain.from_iterable(found), np.int64, count=len(rows))
 
 
 def slices(batch: pa.RecordBatch, text_at: int) -> Iterator[tuple[int, list[str]]]:
@@ -120,255 +119,282 @@ def _counted(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def converge(row: np.ndarray, tf: np.ndarray, background: np.ndarray, share: float = SHARE) -> tuple[np.ndarray, np.ndarray]:
-    """Expectation-maximisation for all records at once.
+    """The fixed point of expectation-maximisation, for all records at once.
 
     ``row``: sorted record of each term; ``tf``: its count; ``background``: its collection probability.
     Returns the term's probability in the record's own model, and the part of its occurrences that model
-    explains. A record leaves the computation as soon as it has settled, so its result doesn't depend on
-    the records it is computed with.
+    explains (the expectation step). At the fixed point a term with probability ``p`` keeps it through both
+    steps, so ``p = tf / z - c * background`` with ``z`` the record's own mass and ``c = (1 - share) / share``;
+    where that isn't positive the term's probability falls to zero. ``z`` only grows when such terms leave, so
+    a round removes them and solves for the rest, and a record is done, exactly, when none leaves. A record's
+    result doesn't depend on the records it is computed with.
     """
-    p_out, part_out = np.empty(len(row)), np.empty(len(row))
-    at = np.arange(len(row))
-    tf, rest = tf.astype(np.float64), (1 - share) * background
-    for k in range(ROUNDS):
-        if not len(at):
-            break
-        if k == 0 or settled.any():
-            starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            lengths = np.diff(np.concatenate([starts, [len(row)]]))
-        if k == 0:
-            p = tf / np.repeat(np.add.reduceat(tf, starts), lengths)
-        own = share * p
-        part = own / (own + rest)
-        e = tf * part
-        new = e / np.repeat(np.maximum(np.add.reduceat(e, starts), 1e-300), lengths)
-        settled = np.maximum.reduceat(np.abs(new - p), starts) < TOLERANCE
-        p = new
-        p_out[at], part_out[at] = p, part
-        if settled.any():
-            keep = np.repeat(~settled, lengths)
-            at, row, tf, rest, p = at[keep], row[keep], tf[keep], rest[keep], p[keep]
+    p_out, part_out = np.zeros(len(row)), np.zeros(len(row))
+    at, tf, q = np.arange(len(row)), tf.astype(np.float64), (1 - share) / share * background
+    while len(at):
+        starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        lengths = np.diff(np.concatenate([starts, [len(row)]]))
+        z = np.add.reduceat(tf, starts) / (1 + np.add.reduceat(q, starts))
+        p = tf / np.repeat(z, lengths) - q
+        stays = p > 0
+        done = np.repeat(np.logical_and.reduceat(stays, starts), lengths)
+        p_out[at[done]], part_out[at[done]] = p[done], p[done] / (p[done] + q[done])
+        left = stays & ~done
+        at, row, tf, q = at[left], row[left], tf[left], q[left]
     return p_out, part_out
 
 
 class Names:
-    """The dictionary in blocks of a bounded size; usually one."""
+    """The dictionary in blocks of a bounded size; usually one. A name's key is a hash, the same in any block."""
 
     def __init__(self, entities: DataFrame, column: str, block_bytes: int = BROADCAST_BYTES // 4):
         distinct = entities.select(F.col(column).alias("name")).where("name is not null and name <> ''").distinct()
         size = distinct.select(F.sum(F.octet_length("name") + 64)).first()[0] or 0
         self.blocks = max(1, -(-int(size) // block_bytes))
-        self._distinct = distinct
+        self._distinct = distinct.withColumn("key", F.xxhash64("name").bitwiseAND(F.lit(NAME - 1)).bitwiseOR(F.lit(NAME)))
 
-    def each(self) -> Iterator[list[str]]:
+    def each(self) -> Iterator[list[tuple[int, str]]]:
+        """(key, name) of one block at a time."""
         for b in range(self.blocks):
             part = self._distinct.where(F.pmod(F.xxhash64("name"), F.lit(self.blocks)) == b)
-            yield sorted(r.name for r in part.collect())
+            yield sorted((r.key, r.name) for r in part.collect())
 
 
-def collection_counts(df: DataFrame, text_col: str, names: list[str]) -> DataFrame:
-    """(key, cf): occurrences of every term in all texts, summed in each batch before the shuffle."""
-    shared = df.sparkSession.sparkContext.broadcast(names)
+def is_name(key: np.ndarray) -> np.ndarray:
+    return (key & NAME != 0) & (key & WORD == 0)
 
-    def make():
-        machine = _automaton(shared.value)
 
-        def convert(batch: pa.RecordBatch) -> dict | None:
-            keys, counts = [], []
-            for _, texts in slices(batch, 0):
-                _, k, _, _ = term_keys(texts)
-                _, named = name_hits(texts, machine)
-                u, n = np.unique(np.concatenate([k, named | NAME]), return_counts=True)
-                keys.append(u)
-                counts.append(n)
-            u, back = np.unique(np.concatenate(keys), return_inverse=True)
-            return {"key": pa.array(u, pa.int64()), "cf": pa.array(np.bincount(back, np.concatenate(counts)).astype(np.int64))} if len(u) else None
+COUNTS = "key bigint, cf bigint, name string, chunk_id string"
 
-        return convert
 
-    rows = map_batches(df.select(text_col).where(F.col(text_col) != ""), "key bigint, cf bigint", make)
-    return rows.groupBy("key").agg(F.sum("cf").alias("cf"))
+def collection_counts(df: DataFrame, names: Names, most: int | None = None) -> DataFrame:
+    """What one scan of ``df(chunk_id, text)`` (one per dictionary block) finds in all texts, written out.
+
+    (key, cf): occurrences of every term, summed in each batch. With ``most`` also (name, chunk_id): where the
+    names stand; a batch sends at most ``most + 1`` chunk ids of a name, since more of them prove already that
+    the name stands in too many.
+    """
+    spark = df.sparkSession
+    source = df.select("chunk_id", "text").where("text <> ''")
+    parts = []
+    for b, block in enumerate(names.each()):
+        shared = spark.sparkContext.broadcast(block)
+
+        def make(shared=shared, with_terms=b == 0):
+            machine = _automaton(shared.value)
+            spelled = dict(shared.value)
+
+            def convert(batch: pa.RecordBatch) -> dict | None:
+                chunks = batch.column(0).to_pylist() if most else None
+                keys, counts, seen = [], [], {}
+                for first, texts in slices(batch, 1):
+                    row, named = name_hits(texts, machine)
+                    u, n = np.unique(np.concatenate([term_keys(texts)[1], named]) if with_terms else named, return_counts=True)
+                    keys.append(u)
+                    counts.append(n)
+                    if most:
+                        for r, k in dict.fromkeys(zip(row.tolist(), named.tolist(), strict=True)):
+                            if (chunk := chunks[first + r]) is not None and len(ids := seen.setdefault(k, set())) <= most:
+                                ids.add(chunk)
+                u, back = np.unique(np.concatenate(keys), return_inverse=True)
+                pairs = [(spelled[k], c) for k, ids in seen.items() for c in ids]
+                none, blank = [None] * len(u), [None] * len(pairs)
+                cf = np.bincount(back, np.concatenate(counts), len(u)).astype(np.int64)
+                return {"key": [*u.tolist(), *blank], "cf": [*cf.tolist(), *blank], "name": none + [a for a, _ in pairs], "chunk_id": none + [c for _, c in pairs]}
+
+            return convert
+
+        parts.append(map_batches(source, COUNTS, make))
+    return cut(reduce(DataFrame.unionByName, parts))
+
+
+def background_of(counts: DataFrame) -> DataFrame:
+    """(key, cf) over all texts."""
+    return counts.where("key is not null").groupBy("key").agg(F.sum("cf").alias("cf"))
+
+
+def names_within(counts: DataFrame, least: int = 2, most: int = 5) -> DataFrame:
+    """(term): names that stand in the texts of ``least`` to ``most`` different non-null chunk ids, exactly;
+    ``counts`` were made with the same ``most``."""
+    pairs = counts.where("name is not null").select(F.col("name").alias("term"), "chunk_id").distinct()
+    return pairs.groupBy("term").count().where(F.col("count").between(least, most)).select("term")
 
 
 SCORES = "row_id bigint, chunk_id string, term string, is_name boolean, tf int, score double, own_part double, rank int"
 
 
-def characteristic_terms(df: DataFrame, names: list[str], only_names: bool = False, least_part: float = 0.0, with_rank: bool = True, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def _scored(texts: list[str], hits: tuple[np.ndarray, np.ndarray], spelled: dict[int, str], probability, only_names: bool, least_part: float, with_rank: bool) -> dict | None:
+    """Columns of the scored terms of ``texts`` and ``row``, the text each belongs to.
+
+    ``hits``: (row, key) of the names in them, ``spelled``: their spelling; ``probability(keys)``: the terms' in the collection.
+    """
+    row, key, start, end = term_keys(texts)
+    name_row, named = hits
+    all_rows = np.concatenate([row, name_row])
+    if not len(all_rows):
+        return None
+    r, t, tf, own_keys, seen = _counted(all_rows, np.concatenate([key, named]))
+    q = probability(own_keys)[t]
+    p, part = converge(r, tf, q)
+    named_key = is_name(own_keys)
+    keep = np.flatnonzero(named_key[t] if only_names else part >= least_part)
+    if not len(keep):
+        return None
+    if with_rank:
+        # by probability to twelve digits; terms without any by how far the collection explains them; then by
+        # key: the terms come sorted by row and key, and the sort is stable
+        order = np.lexsort((-np.round(np.where(p > 0, p, -q / tf), 12), r))
+        starts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        rank = np.empty(len(r), np.int32)
+        rank[order] = np.arange(len(r)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(r)]]))) + 1
+    wanted = t[keep]
+    there = np.zeros(len(own_keys), bool)
+    there[wanted] = True
+    used, place = np.flatnonzero(there), np.cumsum(there) - 1
+    whole = "".join(texts)
+    base = len(start)  # terms are spelled once, where they are first used
+    words = [spelled[k] if n else whole[start[a] : end[a]].lower() for k, n, a in zip(own_keys[used].tolist(), named_key[used].tolist(), np.minimum(seen[used], max(base - 1, 0)).tolist(), strict=True)]
+    return {
+        "row": r[keep], "term": pa.array(words, pa.string()).take(pa.array(place[wanted])), "is_name": pa.array(named_key[wanted]), "tf": pa.array(tf[keep].astype(np.int32)),
+        "score": pa.array(p[keep]), "own_part": pa.array(part[keep]), "rank": pa.array(rank[keep]) if with_rank else pa.nulls(len(keep), pa.int32()),
+    }
+
+
+def _rows(batch: pa.RecordBatch | pa.Table, score) -> dict | None:
+    """The scored terms of a batch of (row_id, chunk_id, text, ..): ``score(first, texts)`` for each slice."""
+    out: dict[str, list] = {f.split()[0]: [] for f in SCORES.split(", ")}
+    whole = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    ids, chunks = whole(batch.column(0)), whole(batch.column(1))
+    for first, texts in slices(batch, 2):
+        if (got := score(first, texts)) is None:
+            continue
+        where = pa.array(got.pop("row").astype(np.int64) + first)
+        for n, c in (got | {"row_id": ids.take(where), "chunk_id": chunks.take(where)}).items():
+            out[n].append(c.cast(pa.string()) if n in ("chunk_id", "term") else c)
+    return {n: pa.concat_arrays(cs) for n, cs in out.items()} if out["row_id"] else None
+
+
+def characteristic_terms(df: DataFrame, names: Names, only_names: bool = False, least_part: float = 0.0, with_rank: bool = True, broadcast_bytes: int = BROADCAST_BYTES, counts: DataFrame | None = None) -> DataFrame:
     """Scores of the terms of every row of ``df(row_id, chunk_id, text)``.
 
     Columns: row_id, chunk_id, term, is_name, tf, score (the converged probability in the record's own
     model), own_part (the part of its occurrences that model explains), rank within the row (ties by term
-    key; null without ``with_rank``). Every term comes out, those the collection explains with a score near zero and a
-    low rank; a caller's ``least_part`` leaves out terms whose ``own_part`` is under it. With ``only_names`` every
-    dictionary name of a row is kept whatever its score, and nothing else.
-    The background is broadcast while it fits ``broadcast_bytes``, beyond that it is joined by term.
+    key; null without ``with_rank``). Every term comes out; those the collection explains have a score of zero and
+    rank behind all others. A caller's ``least_part`` leaves out terms whose ``own_part`` is under it. With ``only_names`` every
+    dictionary name of a row is kept whatever its score, and nothing else. ``counts``: ``collection_counts`` of
+    the same frame and names, made here if not given.
+
+    One model whatever the sizes: the counts go over all dictionary blocks, then each record converges with all
+    its terms. The background and the dictionary are broadcast while the one fits ``broadcast_bytes`` and the
+    other is one block; beyond that the records go in blocks that ask for their own terms only, by joins.
     Null and empty texts have no terms; repeated rows are scored each; a null chunk_id stays null.
     """
     spark = df.sparkSession
     source = df.select(F.col("row_id").cast("bigint").alias("row_id"), F.col("chunk_id").cast("string").alias("chunk_id"), "text").where("text <> ''")
-    background = cut(collection_counts(source, "text", names))
-    terms, total = background.agg(F.count(F.lit(1)), F.sum("cf")).first()
-    shared_names = spark.sparkContext.broadcast(names)
-    joined = terms * _ROW_BYTES > broadcast_bytes
-    model = None
-    if not joined:
-        got = background.toArrow()
-        keys = got.column("key").to_numpy()
-        order = np.argsort(keys)
-        model = spark.sparkContext.broadcast((keys[order], got.column("cf").to_numpy()[order]))
-
-    def found(texts: list[str], machine):
-        row, key, start, end = term_keys(texts)
-        name_row, named = name_hits(texts, machine)
-        all_rows = np.concatenate([row, name_row])
-        if not len(all_rows):
-            return None
-        return *_counted(all_rows, np.concatenate([key, named | NAME])), start, end
-
-    def spell(texts: list[str], wanted: np.ndarray, keys: np.ndarray, first: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
-        """The terms of ``wanted`` indexes into ``keys``; each is spelled once."""
-        there = np.zeros(len(keys), bool)
-        there[wanted] = True
-        used, place = np.flatnonzero(there), np.cumsum(there) - 1
-        whole = "".join(texts)
-        words = [shared_names.value[k ^ NAME] if k & NAME and not k & WORD else whole[start[a] : end[a]].lower() for k, a in zip(keys[used].tolist(), first[used].tolist(), strict=True)]
-        return pa.array(words, pa.string()).take(pa.array(place[wanted]))
-
-    def select(p: np.ndarray, part: np.ndarray, key: np.ndarray) -> np.ndarray:
-        named = (key & NAME != 0) & (key & WORD == 0)
-        return named if only_names else part >= least_part
-
-    def ranked(row: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Ranks by probability to twelve digits, then key; the terms come sorted by row and key, and the sort is stable."""
-        order = np.lexsort((-np.round(p, 12), row))
-        sorted_rows = row[order]
-        starts = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-        rank = np.empty(len(row), np.int32)
-        rank[order] = np.arange(len(row)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(row)]]))) + 1
-        return rank
-
-    if not joined:
-
-        def make():
-            machine = _automaton(shared_names.value)
-            keys, counts = model.value
+    if names.blocks == 1:
+        background = cut(background_of(counts if counts is not None else collection_counts(source, names)))
+        terms, total = background.agg(F.count(F.lit(1)), F.sum("cf")).first()
+        if terms * _ROW_BYTES <= broadcast_bytes:
+            got = background.toArrow()
+            keys = got.column("key").to_numpy()
+            order = np.argsort(keys)
+            model = spark.sparkContext.broadcast((keys[order], got.column("cf").to_numpy()[order] / (total or 1)))
+            dictionary = spark.sparkContext.broadcast(next(names.each()))
 
-            def convert(batch: pa.RecordBatch) -> dict | None:
-                ids, chunks = batch.column(0), batch.column(1)
-                out: dict[str, list] = {f.split()[0]: [] for f in SCORES.split(", ")}
-                for first, texts in slices(batch, 2):
-                    if (got := found(texts, machine)) is None:
-                        continue
-                    r, t, tf, own_keys, seen, start, end = got
-                    k = own_keys[t]
-                    p, part = converge(r, tf, (counts[np.searchsorted(keys, own_keys)] / total)[t])
-                    keep = np.flatnonzero(select(p, part, k))
-                    if not len(keep):
-                        continue
-                    rank = ranked(r, p) if with_rank else None
-                    where = pa.array(r[keep].astype(np.int64) + first)
-                    out["row_id"].append(ids.take(where))
-                    out["chunk_id"].append(chunks.take(where))
-                    out["term"].append(spell(texts, t[keep], own_keys, seen, start, end))
-                    out["is_name"].append(pa.array((k[keep] & NAME != 0) & (k[keep] & WORD == 0)))
-                    out["tf"].append(pa.array(tf[keep].astype(np.int32)))
-                    out["score"].append(pa.array(p[keep]))
-                    out["own_part"].append(pa.array(part[keep]))
-                    out["rank"].append(pa.array(rank[keep]) if with_rank else pa.nulls(len(keep), pa.int32()))
-                if not out["row_id"]:
-                    return None
-                return {n: pa.concat_arrays([c.cast(pa.string()) if n in ("chunk_id", "term") else c for c in cs]) for n, cs in out.items()}
-
-            return convert
-
-        return map_batches(source, SCORES, make)
-
-    # the background doesn't fit: counts of the rows meet it in a shuffled join, then each record converges
-    def make_counts():
-        machine = _automaton(shared_names.value)
+            def make():
+                machine, spelled = _automaton(dictionary.value), dict(dictionary.value)
+                keys, share = model.value
 
-        def convert(batch: pa.RecordBatch) -> dict | None:
-            cols: dict[str, list] = {"row_id": [], "chunk_id": [], "term": [], "key": [], "tf": [], "uid": []}
-            for first, texts in slices(batch, 2):
-                if (got := found(texts, machine)) is None:
-                    continue
-                r, t, tf, own_keys, seen, start, end = got
-                where = pa.array(r.astype(np.int64) + first)
-                for n, i in (("row_id", 0), ("chunk_id", 1), ("uid", 3)):
-                    cols[n].append(batch.column(i).take(where))
-                cols["term"].append(spell(texts, t, own_keys, seen, start, end))
-                cols["key"].append(pa.array(own_keys[t]))
-                cols["tf"].append(pa.array(tf.astype(np.int32)))
-            if not cols["key"]:
-                return None
-            return {n: pa.concat_arrays([c.cast(pa.string()) if n in ("chunk_id", "term", "uid") else c for c in cs]) for n, cs in cols.items()}
+                def score(first: int, texts: list[str]) -> dict | None:
+                    return _scored(texts, name_hits(texts, machine), spelled, lambda k: share[np.searchsorted(keys, k)], only_names, least_part, with_rank)
 
-        return convert
+                return lambda batch: _rows(batch, score)
 
-    counted = map_batches(source.withColumn("uid", F.uuid()), "row_id bigint, chunk_id string, term string, key bigint, tf int, uid string", make_counts)
-    grouped = (
-        cut(counted)  # uid is drawn once
-        .join(background, "key")
-        .groupBy("uid")
-        .agg(F.first("row_id").alias("row_id"), F.first("chunk_id").alias("chunk_id"), F.collect_list(F.struct("key", "term", "tf", "cf")).alias("terms"))
-        .select("row_id", "chunk_id", "terms")
-    )
-
-    def make_converged():
-        def convert(batch: pa.RecordBatch) -> dict | None:
-            out: list[tuple] = []
-            for row_id, chunk_id, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                items = sorted(items, key=lambda t: t["key"])
-                k = np.asarray([t["key"] for t in items], np.int64)
-                tf = np.asarray([t["tf"] for t in items], np.int64)
-                r = np.zeros(len(k), np.int32)
-                p, part = converge(r, tf, np.asarray([t["cf"] for t in items]) / total)
-                rank = ranked(r, p)  # a record at a time: cheap
-                for i in np.flatnonzero(select(p, part, k)):
-                    named = bool(k[i] & NAME) and not k[i] & WORD
-                    out.append((row_id, chunk_id, items[i]["term"], named, int(tf[i]), float(p[i]), float(part[i]), int(rank[i])))
-            return dict(zip((f.split()[0] for f in SCORES.split(", ")), zip(*out, strict=True), strict=True)) if out else None
+            return map_batches(source, SCORES, make)
+    return _joined(source, names, only_names, least_part, with_rank)
 
-        return convert
 
-    return map_batches(grouped, SCORES, make_converged)
+def _joined(source: DataFrame, names: Names, only_names: bool, least_part: float, with_rank: bool) -> DataFrame:
+    """The same when the background or the dictionary doesn't fit: blocks of records ask for their terms."""
+    spark = source.sparkSession
+    rows = in_blocks(source.withColumn("uid", F.monotonically_increasing_id()), "text")
+    hits = []
+    for block in names.each():
+        shared = spark.sparkContext.broadcast(block)
 
+        def make_hits(shared=shared):
+            machine, spelled = _automaton(shared.value), dict(shared.value)
 
-def shared_names(df: DataFrame, names: list[str], least: int = 2, most: int = 5) -> DataFrame:
-    """Names that stand in the texts of ``least`` to ``most`` different non-null chunk ids of the table.
+            def convert(batch: pa.RecordBatch) -> dict | None:
+                row, key = name_hits(batch.column(2).to_pylist(), machine)
+                if not len(row):
+                    return None
+                r, t, tf, keys, _ = _counted(row, key)
+                where, k = pa.array(r), keys[t]
+                return {"block": batch.column(0).take(where), "uid": batch.column(1).take(where), "key": pa.array(k), "n": pa.array(tf.astype(np.int64)), "name": [spelled[x] for x in k.tolist()]}
 
-    A batch sends at most ``most + 1`` chunk ids of a name: more of them prove already that the name stands
-    in too many, so the count stays exact where it matters.
-    """
-    shared = df.sparkSession.sparkContext.broadcast(names)
+            return convert
 
-    def make():
-        machine = _automaton(shared.value)
+        hits.append(map_batches(rows.select("block", "uid", "text"), "block bigint, uid bigint, key bigint, n bigint, name string", make_hits))
+    named = cut(reduce(DataFrame.unionByName, hits))
 
+    def make_vocabulary():
         def convert(batch: pa.RecordBatch) -> dict | None:
-            seen: dict[int, set[str]] = {}
-            for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if machine is None:
-                    return None
-                for _, i in machine.iter(text):
-                    ids = seen.get(i)
-                    if ids is None:
-                        seen[i] = {chunk}
-                    elif len(ids) <= most:
-                        ids.add(chunk)
-            pairs = [(shared.value[i], c) for i, ids in seen.items() for c in ids]
-            return {"term": [a for a, _ in pairs], "chunk_id": [b for _, b in pairs]} if pairs else None
+            blocks, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            out: dict[str, list] = {"block": [], "key": [], "n": []}
+            for first, texts in slices(batch, 1):
+                row, key, _, _ = term_keys(texts)
+                own = at[row + first]
+                for b in np.unique(own).tolist():
+                    u, n = np.unique(key[own == b], return_counts=True)
+                    for c, v in zip(out, (np.full(len(u), blocks[b]), u, n), strict=True):
+                        out[c].append(v)
+            return {c: pa.array(np.concatenate(v).astype(np.int64)) for c, v in out.items()} if out["key"] else None
 
         return convert
 
-    pairs = map_batches(df.select("chunk_id", "text").where("chunk_id is not null and text <> ''"), "term string, chunk_id string", make)
-    return pairs.distinct().groupBy("term").count().where(F.col("count").between(least, most)).select("term")
-
-
-def names_of_few(df: DataFrame, entities: DataFrame, column: str = "canonical") -> DataFrame:
-    """(chunk_id, canonical): names scored by the model that few chunks share; the exact rule follows it."""
-    parts = []
-    for names in Names(entities, column).each():
-        scored = characteristic_terms(df, names, only_names=True, with_rank=False).where("chunk_id is not null and score > 0")
-        parts.append(scored.join(shared_names(df, names), "term", "left_semi").select("chunk_id", F.col("term").alias(column)))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    terms = map_batches(rows.select("block", "text"), "block bigint, key bigint, n bigint", make_vocabulary)
+    vocabulary = cut(terms.unionByName(named.select("block", "key", "n")).groupBy("block", "key").agg(F.sum("n").alias("n")))
+    background = vocabulary.groupBy("key").agg(F.sum("n").alias("cf"))
+    total = vocabulary.agg(F.sum("n")).first()[0] or 1
+    none = lambda kind: F.lit(None).cast(kind)
+    answers = vocabulary.select("block", "key").join(background, "key").select("block", none("bigint").alias("uid"), "key", F.col("cf").alias("n"), none("string").alias("name")).unionByName(named)
+
+    def convert(left: pa.Table, right: pa.Table) -> dict | None:
+        uid, key, n = (right.column(c).to_numpy() for c in ("uid", "key", "n"))
+        name_at = np.flatnonzero(~np.isnan(uid)) if uid.dtype.kind == "f" else np.arange(len(uid))
+        name_uid = right.column("uid").take(pa.array(name_at)).to_numpy().astype(np.int64)
+        texts_uid = left.column("uid").to_numpy()
+        order = np.argsort(texts_uid)
+        owner = order[np.searchsorted(texts_uid[order], name_uid)]
+        by = np.argsort(owner, kind="stable")
+        owner, name_at = owner[by], name_at[by]
+        spelled = dict(zip(key[name_at].tolist(), right.column("name").take(pa.array(name_at)).to_pylist(), strict=True))
+        is_cf = np.ones(len(uid), bool)
+        is_cf[name_at] = False
+        known, share = key[is_cf], n[is_cf] / total
+        order = np.argsort(known)
+        known, share = known[order], share[order]
+
+        def score(first: int, texts: list[str]) -> dict | None:
+            a, b = np.searchsorted(owner, [first, first + len(texts)])
+            own, times = name_at[a:b], n[name_at[a:b]]
+            hit = (np.repeat(owner[a:b] - first, times).astype(np.int32), np.repeat(key[own], times))
+            return _scored(texts, hit, spelled, lambda k: share[np.searchsorted(known, k)], only_names, least_part, with_rank)
+
+        return _rows(left, score)
+
+    return with_answers(rows.select("row_id", "chunk_id", "text", "uid", "block"), answers, SCORES, convert)
+
+
+def names_of_few(df: DataFrame, entities: DataFrame, column: str = "canonical", least: int = 2, most: int = 5, **options) -> DataFrame:
+    """(chunk_id, canonical): names the model leaves a share in some record, in ``least`` to ``most`` chunks.
+
+    The converged scores decide first: a name whose every occurrence the collection explains has a score of zero
+    in all its records and goes. The exact count of its chunk ids follows as a check.
+    """
+    names = Names(entities, column)
+    counts = collection_counts(df, names, most)
+    scored = characteristic_terms(df, names, only_names=True, with_rank=False, counts=counts, **options).where("chunk_id is not null")
+    kept = scored.join(names_within(counts, least, most), "term", "left_semi").groupBy("term").agg(F.collect_set("chunk_id").alias("ids"), F.max("score").alias("best"))  # at most `most` ids
+    return kept.where("best > 0").select(F.explode("ids").alias("chunk_id"), F.col("term").alias(column))
