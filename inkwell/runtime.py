@@ -51,9 +51,27 @@ def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _forget_at_exit(spark: SparkSession, path: str) -> None:
+def cut_by(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """``cut`` into ``buckets`` buckets of ``column``, sorted by it: later groupings and joins on it read the table
+    as it lies, without a shuffle of it."""
+    spark = df.sparkSession
+    name = f"inkwell_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("path", path).format("parquet").saveAsTable(name)
+    _forget_at_exit(spark, path, name)
+    return spark.table(name)
+
+
+def buckets_for(spark: SparkSession, size: int, bucket_bytes: int = 64 << 20, most: int = 100_000) -> int:
+    """Buckets for a table of about ``size`` bytes: one for every ``bucket_bytes``, and one a core at least."""
+    return max(spark.sparkContext.defaultParallelism, min(most, size // bucket_bytes))
+
+
+def _forget_at_exit(spark: SparkSession, path: str, name: str | None = None) -> None:
     def remove() -> None:
         try:
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
