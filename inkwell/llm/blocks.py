@@ -63,7 +63,9 @@ def with_answers(rows: DataFrame, answers: DataFrame, schema: str, convert: Call
             return arrow.empty_table()
         return pa.table([c if isinstance(c := columns[f.name], (pa.Array, pa.ChunkedArray)) and c.type == f.type else (c.cast(f.type) if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type)) for f in arrow], schema=arrow)
 
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, spark_schema)
+    # both frames may come from one table: the other name makes another column of it
+    other = answers.withColumnRenamed("block", "__block")
+    return rows.groupBy("block").cogroup(other.groupBy("__block")).applyInArrow(run, spark_schema)
 
 
 def asked(vocabulary: DataFrame, model: DataFrame) -> DataFrame:

@@ -1,14 +1,20 @@
 """How demanding each document is to read: harmonic propagation over the document-word graph.
 
-Documents and the words they contain (hashed into a fixed number of word nodes) form a bipartite graph.
-Documents with opinions are clamped to the median opinion; every other node takes the weighted mean of its
-neighbours, words whose documents agree weighing more, until the difficulties settle. A document's own
-level is then read off its sentences, each scored by the settled difficulty of its words, so that a wrong
-opinion or a few easier or harder sentences don't decide it.
+Documents and the words they contain form a bipartite graph. Documents with opinions are clamped to the median
+opinion; every other node takes the weighted mean of its neighbours, until the difficulties settle. A word's
+weight follows how well its documents agree and is taken anew in each round, so the rounds are those of an
+iteratively re-weighted harmonic function, not of one fixed graph. A document's own level is then read off
+its sentences, each scored by the settled difficulty of its words, so that a wrong opinion or a few easier or
+harder sentences don't decide it.
+
+Words are rows of a table. Documents lie in blocks that keep their words as places in the block's vocabulary;
+in a round every block asks for its vocabulary by a join, and sends one sum per word back.
 """
 
 from __future__ import annotations
 
+import secrets
+import warnings
 from functools import cache
 
 import numpy as np
@@ -17,20 +23,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.batches import map_batches
+from inkwell.llm.blocks import BLOCK, with_answers
 from inkwell.llm.lookalike import canonical
-from inkwell.llm.sentences import unit_ends
+from inkwell.llm.sentences import Learned, Periods, lang_name, learn_periods, unit_ends
 from inkwell.llm.terms import slices, term_keys
-from inkwell.runtime import cut, maybe_broadcast
+from inkwell.runtime import buckets_for, cut, cut_by, maybe_broadcast
 
-WORD_BITS = 18  # word nodes: a proven bound of what each round collects and broadcasts (2^18 * 24 bytes)
-NODES = 1 << WORD_BITS
 LEVELS = (1, 2, 3, 4)
-ROUNDS = 8
+ROUNDS = 60
 SETTLED = 2e-3
 MIDDLE = 2.5
 #: weight of a propagated document against a clamped one, and smoothing of a word's difficulty and spread
 FREE, PRIOR, SPREAD, SHARPNESS = 0.3, 0.1, 0.05, 1.5
 
+
 @cache
 def _letter_kinds() -> np.ndarray:
     """Per code point of the basic plane: 0 no letter, 1 ideograph, 2 kana, 3 Latin, 4 another letter."""
@@ -70,10 +76,6 @@ def opinions(labels: DataFrame) -> DataFrame:
     return valid.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.percentile("reading_level", 0.5).alias("opinion"))
 
 
-def _word_nodes(key: np.ndarray) -> np.ndarray:
-    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - WORD_BITS)).astype(np.int32)
-
-
 def _lists(values: np.ndarray, owner: np.ndarray, owners: int) -> pa.ListArray:
     """Values sorted by owner as one list per owner."""
     offsets = np.zeros(owners + 1, np.int32)
@@ -81,52 +83,68 @@ def _lists(values: np.ndarray, owner: np.ndarray, owners: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def document_graph(documents: DataFrame, opinion: DataFrame) -> DataFrame:
-    """(doc_id, opinion, nodes, words, lengths) of the Chinese and English documents.
+GRAPH = "block bigint, doc_id bigint, opinion double, words array<int>, lengths array<int>, vocabulary array<bigint>"
+
 
-    ``nodes``: the document's distinct word nodes, its edges; ``words`` and ``lengths``: the word nodes of its
-    sentences one after another, and how many each sentence has.
+def document_graph(documents: DataFrame, opinion: DataFrame, known: Learned | Periods | None = None, lang_col: str | None = None, size: int = BLOCK) -> DataFrame:
+    """The Chinese and English documents in blocks of about ``size`` code points, bucketed by ``block``.
+
+    A document's row has its doc_id, opinion, ``words`` (one after another, as places in its block's vocabulary;
+    its first use of a word is written as ``~place``, so these are its edges) and ``lengths`` (words of each
+    sentence, cut with the learned periods ``known``). A block has one more row with ``vocabulary``, its words' keys.
     """
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null and text <> ''")
-    known = opinion.count()
-    joined = rows.join(maybe_broadcast(opinion, known, 32), "doc_id", "left").select("doc_id", "opinion", "text")
+    known = known or Periods()
+    lang = lang_name(F.col(lang_col)) if lang_col else F.lit("")
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", lang.alias("lang")).where("text is not null and text <> ''")
+    joined = rows.join(maybe_broadcast(opinion, opinion.count(), 32), "doc_id", "left").select("doc_id", "opinion", "text", "lang")
 
     def make():
         def convert(batch: pa.RecordBatch) -> dict | None:
-            out: dict[str, list] = {n: [] for n in ("doc_id", "opinion", "nodes", "words", "lengths")}
-            for first, texts in slices(batch, 2):
+            out: dict[str, list] = {f.split()[0]: [] for f in GRAPH.split(", ")}
+            langs = batch.column(3).to_pylist()
+            for first, texts in slices(batch, 2, size):
                 forms = [canonical(t) for t in texts]
                 kept = [i for i, lang in enumerate(languages(forms)) if lang]
                 if not kept:
                     continue
                 forms = [forms[i] for i in kept]
                 base = np.concatenate([[0], np.cumsum([len(t) for t in forms])])
-                ends_of = [unit_ends(t) for t in forms]
+                ends_of = [unit_ends(t, known.of(langs[first + i], t)) for i, t in zip(kept, forms, strict=True)]
                 ends = np.concatenate([np.asarray(e, np.int64) + b for e, b in zip(ends_of, base[:-1], strict=True)])
                 sentences = np.asarray([len(e) for e in ends_of])
                 row, key, start, _ = term_keys(forms)
                 order = np.argsort(start, kind="stable")  # words and letter pairs back into reading order
-                row, start, node = row[order], start[order], _word_nodes(key[order])
+                row, start = row[order], start[order]
+                vocabulary, place = np.unique(key[order], return_inverse=True)
+                edge = row.astype(np.int64) * max(len(vocabulary), 1) + place
+                used = np.zeros(len(edge), bool)
+                used[np.unique(edge, return_index=True)[1]] = True
+                words = np.where(used, ~place, place).astype(np.int32)
                 sentence = np.searchsorted(ends, start, side="right")
-                edges = np.unique(row.astype(np.int64) << WORD_BITS | node)
-                where = pa.array(np.asarray(kept, np.int64) + first)
-                out["doc_id"].append(batch.column(0).take(where))
-                out["opinion"].append(batch.column(1).take(where))
-                out["nodes"].append(_lists((edges & (NODES - 1)).astype(np.int32), edges >> WORD_BITS, len(forms)))
-                out["words"].append(_lists(node, row, len(forms)))
                 per = np.bincount(np.minimum(sentence, max(len(ends) - 1, 0)), minlength=len(ends)).astype(np.int32)
-                out["lengths"].append(_lists(per, np.repeat(np.arange(len(forms)), sentences), len(forms)))
+                n, where = len(forms), pa.array(np.asarray(kept, np.int64) + first)
+                none = pa.nulls(1)
+                of = lambda docs, block, kind: pa.concat_arrays([docs.cast(kind), block.cast(kind)])
+                out["block"].append(pa.array(np.full(n + 1, secrets.randbits(62))))
+                out["doc_id"].append(of(batch.column(0).take(where), none, pa.int64()))
+                out["opinion"].append(of(batch.column(1).take(where), none, pa.float64()))
+                out["words"].append(of(_lists(words, row, n), none, pa.list_(pa.int32())))
+                out["lengths"].append(of(_lists(per, np.repeat(np.arange(n), sentences), n), none, pa.list_(pa.int32())))
+                out["vocabulary"].append(of(pa.nulls(n), pa.array([vocabulary]), pa.list_(pa.int64())))
             return {n: pa.concat_arrays(c) for n, c in out.items()} if out["doc_id"] else None
 
         return convert
 
-    return map_batches(joined, "doc_id bigint, opinion double, nodes array<int>, words array<int>, lengths array<int>", make)
+    size_of = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return cut_by(map_batches(joined, GRAPH, make), "block", buckets_for(documents.sparkSession, size_of))
 
 
-def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Values and offsets of a list column, whatever its slice."""
-    offsets = column.offsets.to_numpy()
-    return column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a list column, whatever its slices."""
+    whole = column.combine_chunks()
+    whole = whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
+    offsets = whole.offsets.to_numpy()
+    return whole.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 def _means(values: np.ndarray, weights: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -137,100 +155,113 @@ def _means(values: np.ndarray, weights: np.ndarray, offsets: np.ndarray) -> np.n
     return np.where(d > 1e-9, n / np.maximum(d, 1e-9), np.nan)
 
 
-def _round(graph: DataFrame, difficulty: np.ndarray, weight: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray]:
-    """One harmonic step: documents from words, then words from documents."""
-    model = graph.sparkSession.sparkContext.broadcast((difficulty, weight))
+def _model(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Difficulty, weight and key of a block's words, by place."""
+    order = np.argsort(answers.column("place").to_numpy())
+    return tuple(answers.column(c).to_numpy()[order] for c in ("mu", "w", "key"))
 
-    def make():
-        mu, w = model.value
 
-        def convert(batch: pa.RecordBatch) -> dict | None:
-            nodes, offsets = _flat(batch.column(1))
-            opinion = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
-            clamped = ~np.isnan(opinion)
-            if first:
-                y, strength = opinion, clamped.astype(np.float64)
-            else:
-                free = _means(mu[nodes], w[nodes], offsets)
-                y = np.where(clamped, opinion, free)
-                strength = np.where(clamped, 1.0, np.where(np.isnan(free), 0.0, FREE))
-            y = np.where(strength > 0, y, 0.0)
-            size = np.diff(offsets)
-            s = np.repeat(strength, size)
-            v = np.repeat(y, size)
-            n = np.bincount(nodes, s, NODES)
-            at = np.flatnonzero(n)
-            if not len(at):
-                return None
-            return {"node": at.astype(np.int32), "n": n[at], "s": np.bincount(nodes, s * v, NODES)[at], "q": np.bincount(nodes, s * v * v, NODES)[at]}
+def _answers(graph: DataFrame, words: DataFrame | None) -> DataFrame:
+    """(block, place, key, mu, w) of every word of every block; words that nothing reached weigh nothing."""
+    asked = graph.where("vocabulary is not null").select("block", F.posexplode("vocabulary").alias("place", "key"))
+    if words is None:
+        return asked.select("block", "place", "key", F.lit(MIDDLE).alias("mu"), F.lit(0.0).alias("w"))
+    return asked.join(words.select("key", "mu", "w"), "key", "left").select("block", "place", "key", F.coalesce("mu", F.lit(MIDDLE)).alias("mu"), F.coalesce("w", F.lit(0.0)).alias("w"))
 
-        return convert
 
-    source = graph.where("opinion is not null") if first else graph
-    sums = map_batches(source.select("opinion", "nodes"), "node int, n double, s double, q double", make)
-    got = sums.groupBy("node").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).toArrow()  # at most NODES rows
-    model.unpersist()
-    node = got.column("node").to_numpy()
-    n, s, q = (got.column(c).to_numpy() for c in "nsq")
-    mu, w = np.full(NODES, MIDDLE), np.zeros(NODES)
-    mu[node] = (s + MIDDLE * PRIOR) / (n + PRIOR)
-    spread = np.maximum(q / n - (s / n) ** 2, 0)
-    w[node] = (1 / (spread + SPREAD + 1 / (n + 1))) ** SHARPNESS
-    return mu, w
-
-
-def word_difficulty(graph: DataFrame, rounds: int = ROUNDS, settled: float = SETTLED) -> tuple[np.ndarray, np.ndarray]:
-    """Difficulty and weight of every word node once the propagation has settled."""
-    mu, w = _round(graph, np.full(NODES, MIDDLE), np.zeros(NODES), True)
-    for _ in range(rounds - 1):
-        new, w = _round(graph, mu, w, False)
-        moved = float((np.abs(new - mu) * w).sum() / max(w.sum(), 1e-9))
-        mu = new
-        if moved < settled:
-            break
-    return mu, w
-
-
-def sentence_medians(graph: DataFrame, difficulty: np.ndarray, weight: np.ndarray) -> DataFrame:
-    """(doc_id, opinion, difficulty): the median of the document's sentence difficulties."""
-    model = graph.sparkSession.sparkContext.broadcast((difficulty, weight))
-
-    def make():
-        mu, w = model.value
-
-        def convert(batch: pa.RecordBatch) -> dict:
-            words, _ = _flat(batch.column(2))
-            lengths, sentences = _flat(batch.column(3))
-            offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-            scores = _means(mu[words], w[words], offsets)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(sentences))
-            ok = ~np.isnan(scores)
-            owner, scores = owner[ok], scores[ok]
-            order = np.lexsort((scores, owner))
-            owner, scores = owner[order], scores[order]
-            count = np.bincount(owner, minlength=batch.num_rows)
-            begin = np.concatenate([[0], np.cumsum(count)[:-1]])
-            middle = np.full(batch.num_rows, MIDDLE)
-            has = count > 0
-            middle[has] = scores[(begin + (count - 1) // 2)[has]]
-            return {"doc_id": batch.column(0), "opinion": batch.column(1), "difficulty": middle}
+def _round(graph: DataFrame, words: DataFrame | None) -> DataFrame:
+    """One harmonic step: documents from words, then (key, mu, w, moved) of the words from documents.
 
-        return convert
-
-    return map_batches(graph.select("doc_id", "opinion", "words", "lengths"), "doc_id bigint, opinion double, difficulty double", make)
+    The first step (``words`` None) has the clamped documents only. ``moved``: by how much the difficulty changed.
+    """
 
+    def convert(rows: pa.Table, answers: pa.Table) -> dict | None:
+        mu, w, keys = _model(answers)
+        places, offsets = _flat(rows.column("words"))
+        size = np.diff(offsets)
+        owner = np.repeat(np.arange(len(size)), size)
+        first = places < 0
+        nodes, owner = ~places[first], owner[first]
+        edges = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(size)))])
+        opinion = rows.column("opinion").to_numpy().astype(np.float64)
+        clamped = ~np.isnan(opinion)
+        free = _means(mu[nodes], w[nodes], edges)
+        y = np.where(clamped, opinion, free)
+        strength = np.where(clamped, 1.0, np.where(np.isnan(free), 0.0, FREE))
+        y = np.where(strength > 0, y, 0.0)
+        s, v = strength[owner], y[owner]
+        n = np.bincount(nodes, s, len(keys))
+        at = np.flatnonzero(n)
+        return {"key": keys[at], "n": n[at], "s": np.bincount(nodes, s * v, len(keys))[at], "q": np.bincount(nodes, s * v * v, len(keys))[at], "old": mu[at]}
+
+    docs = graph.where("vocabulary is null" if words is not None else "opinion is not null").select("block", "opinion", "words")
+    sums = with_answers(docs, _answers(graph, words), "key bigint, n double, s double, q double, old double", convert)
+    total = sums.groupBy("key").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.max("old").alias("old"))
+    mu = (F.col("s") + MIDDLE * PRIOR) / (F.col("n") + PRIOR)
+    disagree = F.greatest(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2), F.lit(0.0))
+    w = F.pow(1 / (disagree + SPREAD + 1 / (F.col("n") + 1)), F.lit(SHARPNESS))
+    return total.select("key", mu.alias("mu"), w.alias("w"), F.abs(mu - F.col("old")).alias("moved"))
+
+
+class Settled:
+    """Words (key, mu, w) after propagation, and by how much each round still moved them."""
+
+    def __init__(self, words: DataFrame, moves: list[float], settled: bool):
+        self.words, self.moves, self.settled = words, moves, settled
+
+
+def word_difficulty(graph: DataFrame, rounds: int = ROUNDS, settled: float = SETTLED) -> Settled:
+    """Difficulty and weight of every word once the propagation has settled: the weighted mean movement of the
+    words in a round is under ``settled``. After ``rounds`` rounds it ends with a warning and ``settled`` false."""
+    words = cut(_round(graph, None))
+    moves: list[float] = []
+    for _ in range(rounds):
+        words = cut(_round(graph, words))
+        moved, mass = words.agg(F.sum(F.col("moved") * F.col("w")), F.sum("w")).first()
+        moves.append(float(moved or 0) / max(float(mass or 0), 1e-9))
+        if moves[-1] < settled:
+            return Settled(words, moves, True)
+    warnings.warn(f"difficulties still move by {moves[-1]:.2g} after {rounds} rounds", stacklevel=2)
+    return Settled(words, moves, False)
+
+
+def sentence_medians(graph: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc_id, opinion, difficulty): the median of the document's sentence difficulties."""
 
-def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    def convert(rows: pa.Table, answers: pa.Table) -> dict:
+        mu, w, _ = _model(answers)
+        places, _ = _flat(rows.column("words"))
+        places = np.where(places < 0, ~places, places)
+        lengths, sentences = _flat(rows.column("lengths"))
+        offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        scores = _means(mu[places], w[places], offsets)
+        owner = np.repeat(np.arange(rows.num_rows), np.diff(sentences))
+        ok = ~np.isnan(scores)
+        owner, scores = owner[ok], scores[ok]
+        order = np.lexsort((scores, owner))
+        scores = scores[order]
+        count = np.bincount(owner, minlength=rows.num_rows)
+        begin = np.concatenate([[0], np.cumsum(count)[:-1]])
+        middle = np.full(rows.num_rows, MIDDLE)
+        has = count > 0
+        middle[has] = scores[(begin + (count - 1) // 2)[has]]
+        return {"doc_id": rows.column("doc_id"), "opinion": rows.column("opinion"), "difficulty": middle}
+
+    docs = graph.where("vocabulary is null").select("block", "doc_id", "opinion", "words", "lengths")
+    return with_answers(docs, _answers(graph, words), "doc_id bigint, opinion double, difficulty double", convert)
+
+
+def reading_levels(documents: DataFrame, labels: DataFrame, lang_col: str | None = None) -> DataFrame:
     """(doc_id, difficulty, reading_level) of every document written in Chinese or English.
 
     Left out: null, empty and letterless texts, other languages. Opinions outside 1..4, on missing
     documents or without a document id don't count; exact repetitions count once; null raters count.
     Repeated documents are scored each. Borders between levels lie halfway between the median difficulties
     of the documents with these opinions, or halfway between the levels where one has no opinions; without
-    any opinion every document stays in the middle (level 2).
+    any opinion every document stays in the middle (level 2). ``lang_col`` says whose periods are learned together.
     """
-    graph = cut(document_graph(documents, opinions(labels)))
-    scored = cut(sentence_medians(graph, *word_difficulty(graph)))
+    graph = document_graph(documents, opinions(labels), learn_periods(documents, "text", lang_col), lang_col)
+    scored = cut(sentence_medians(graph, word_difficulty(graph).words))
     at = scored.where("opinion is not null and opinion = floor(opinion)").groupBy(F.col("opinion").cast("int").alias("level")).agg(F.percentile_approx("difficulty", 0.5, 10_000).alias("d"))
     centre = {r.level: r.d for r in at.collect()}
     borders = [(centre[a] + centre[a + 1]) / 2 if a in centre and a + 1 in centre and centre[a] < centre[a + 1] else a + 0.5 for a in LEVELS[:-1]]

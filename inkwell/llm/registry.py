@@ -98,13 +98,21 @@ def p7_exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _levels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     documents = table(spark, sf_dir, "documents").where("source is null or lower(trim(source)) <> 'tool_trace'")
-    return reading.reading_levels(documents, table(spark, sf_dir, "reading_labels")), documents
+    return reading.reading_levels(documents, table(spark, sf_dir, "reading_labels"), "lang"), documents
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(spark, sf_dir)[0].select("doc_id", "reading_level")
 
 
+def p8_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(round, moved, settled): how far the words' difficulties still moved in each round of the propagation."""
+    documents = table(spark, sf_dir, "documents").where("source is null or lower(trim(source)) <> 'tool_trace'")
+    done = reading.word_difficulty(reading.document_graph(documents, reading.opinions(table(spark, sf_dir, "reading_labels"))))
+    rows = [(i, m, done.settled and i == len(done.moves)) for i, m in enumerate(done.moves, 1)]
+    return spark.createDataFrame(rows, "round int, moved double, settled boolean")
+
+
 def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.level_profile(*_levels(spark, sf_dir))
 
@@ -127,6 +135,7 @@ QUERIES = {
     "p7_exact_shares": p7_exact_shares,
     "p8_found": p8_found,
     "p8_profile": p8_profile,
+    "p8_rounds": p8_rounds,
 }
 SQL = {
     "p4_found": """

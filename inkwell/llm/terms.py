@@ -96,13 +96,13 @@ def name_hits(texts: list[str], machine: ahocorasick.Automaton | None) -> tuple[
     return rows, np.fromiter(chain.from_iterable(found), np.int64, count=len(rows))
 
 
-def slices(batch: pa.RecordBatch, text_at: int) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) pieces of a batch of about ``SLICE`` code points; null is the empty text."""
+def slices(batch: pa.RecordBatch, text_at: int, most: int = SLICE) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) pieces of a batch of about ``most`` code points; null is the empty text."""
     texts = batch.column(text_at).to_pylist()
     begin = size = 0
     for i, t in enumerate(texts):
         size += len(t or "")
-        if size >= SLICE or i == len(texts) - 1:
+        if size >= most or i == len(texts) - 1:
             yield begin, [x or "" for x in texts[begin : i + 1]]
             begin, size = i + 1, 0
 

@@ -55,40 +55,86 @@ def test_opinions_are_medians(spark):
     assert {tuple(r) for r in R.opinions(spark.createDataFrame(rows, LAB)).collect()} == {(1, 2.0), (3, 4.0)}
 
 
-def brute_round(docs, y, clamped, mu, w):
-    n, s, q = np.zeros(R.NODES), np.zeros(R.NODES), np.zeros(R.NODES)
-    for nodes, yi, c in zip(docs, y, clamped):
+def brute_round(docs, y, clamped, model):
+    sums = {}
+    for words, yi, c in zip(docs, y, clamped):
+        weight = sum(model[k][1] for k in words if k in model) if model else 0
         if c:
-            v, k = yi, 1.0
-        elif w is None or w[nodes].sum() <= 1e-9:
+            v, strength = yi, 1.0
+        elif weight <= 1e-9:
             continue
         else:
-            v, k = (mu[nodes] * w[nodes]).sum() / w[nodes].sum(), R.FREE
-        n[nodes] += k
-        s[nodes] += k * v
-        q[nodes] += k * v * v
-    at = n > 0
-    out, ow = np.full(R.NODES, R.MIDDLE), np.zeros(R.NODES)
-    out[at] = (s[at] + R.MIDDLE * R.PRIOR) / (n[at] + R.PRIOR)
-    ow[at] = (1 / (np.maximum(q[at] / n[at] - (s[at] / n[at]) ** 2, 0) + R.SPREAD + 1 / (n[at] + 1))) ** R.SHARPNESS
-    return out, ow
-
-
-def test_distributed_rounds_equal_brute_force(spark):
-    docs, truth = collection(60)
-    labels = [(i, truth[i], "r", None, "") for i in range(0, 60, 4)]
-    graph = R.document_graph(spark.createDataFrame(docs, EXTRA).repartition(5), R.opinions(spark.createDataFrame(labels, LAB))).cache()
+            v, strength = sum(model[k][0] * model[k][1] for k in words if k in model) / weight, R.FREE
+        for k in words:
+            n, s, q = sums.get(k, (0, 0, 0))
+            sums[k] = (n + strength, s + strength * v, q + strength * v * v)
+    return {k: ((s + R.MIDDLE * R.PRIOR) / (n + R.PRIOR), (1 / (max(q / n - (s / n) ** 2, 0) + R.SPREAD + 1 / (n + 1))) ** R.SHARPNESS) for k, (n, s, q) in sums.items()}
+
+
+def keyed(graph):
+    """(opinion, words in order, distinct words) per document, with keys in place of places."""
     rows = graph.collect()
-    nodes = [np.asarray(r.nodes) for r in rows]
-    y, clamped = [r.opinion for r in rows], [r.opinion is not None for r in rows]
-    mu, w = R._round(graph, np.full(R.NODES, R.MIDDLE), np.zeros(R.NODES), True)
-    bm, bw = brute_round(nodes, y, clamped, None, None)
-    assert np.allclose(mu, bm) and np.allclose(w, bw)
-    mu2, w2 = R._round(graph, mu, w, False)
-    bm2, bw2 = brute_round(nodes, y, clamped, bm, bw)
-    assert np.allclose(mu2, bm2) and np.allclose(w2, bw2)
+    vocabulary = {r.block: r.vocabulary for r in rows if r.vocabulary is not None}
+    out = {}
     for r in rows:
-        assert sum(r.lengths) == len(r.words)
+        if r.vocabulary is None:
+            words = [vocabulary[r.block][~p if p < 0 else p] for p in r.words]
+            first = [vocabulary[r.block][~p] for p in r.words if p < 0]
+            assert sum(r.lengths) == len(words) and len(first) == len(set(first)) and set(first) == set(words)
+            out[r.doc_id] = (r.opinion, words, set(first))
+    return out
+
+
+@pytest.mark.parametrize("size", [10**6, 300])
+def test_distributed_rounds_equal_brute_force(spark, size):
+    docs, truth = collection(60)
+    labels = [(i, truth[i], "r", None, "") for i in range(0, 60, 4)]
+    graph = R.document_graph(spark.createDataFrame(docs, EXTRA).repartition(5), R.opinions(spark.createDataFrame(labels, LAB)), size=size)
+    assert (graph.select("block").distinct().count() > 20) == (size == 300)
+    of = keyed(graph)
+    y, words = [o for o, _, _ in of.values()], [d for _, _, d in of.values()]
+    clamped = [o is not None for o in y]
+    got, want = None, None
+    for _ in range(3):
+        got = R.cut(R._round(graph, got))
+        old, want = want, brute_round(words, y, clamped, want)
+        rows = {r.key: r for r in got.collect()}
+        assert rows.keys() == want.keys() and all(np.allclose((rows[k].mu, rows[k].w), want[k]) for k in want)
+        assert old is None or all(abs(rows[k].moved - abs(want[k][0] - (old[k][0] if k in old else R.MIDDLE))) < 1e-9 for k in want)
+
+
+def test_rounds_settle_and_say_so(spark):
+    docs, truth = collection(80)
+    graph = R.document_graph(spark.createDataFrame(docs, EXTRA), R.opinions(spark.createDataFrame([(i, truth[i], "r", None, "") for i in range(0, 80, 5)], LAB)))
+    done = R.word_difficulty(graph)
+    assert done.settled and done.moves[-1] < R.SETTLED and done.moves == sorted(done.moves, reverse=True)
+    with pytest.warns(UserWarning, match="still move"):
+        assert not R.word_difficulty(graph, rounds=1, settled=0).settled
+
+
+def test_every_word_is_a_node_of_its_own(spark):
+    """More than 2^18 words: none shares a node with another, and levels are still found."""
+    rnd = random.Random(5)
+    docs, truth = collection(120)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    docs += [(1000 + i, " ".join("".join(rnd.choice(letters) for _ in range(9)) for _ in range(4000)), 0.0, "x") for i in range(80)]
+    frame = spark.createDataFrame(docs, EXTRA).repartition(6)
+    graph = R.document_graph(frame, R.opinions(spark.createDataFrame([], LAB)))
+    words = graph.where("vocabulary is not null").selectExpr("explode(vocabulary) k").distinct().count()
+    distinct = len({w.lower() for _, t, _, _ in docs for w in t.replace(".", " ").split()})
+    assert words == distinct > 1 << 18
+    labels = spark.createDataFrame([(i, truth[i], "r", None, "") for i in range(0, 120, 2)], LAB)
+    got = {r.doc_id: r.reading_level for r in R.reading_levels(frame, labels).collect()}
+    assert len(got) == 200 and np.mean([got[i] == truth[i] for i in truth]) > 0.9
+
+
+def test_learned_periods_cut_the_sentences(spark):
+    rnd = random.Random(3)
+    docs = [(i, " ".join(rnd.choice(["We met Dr. Vane today.", "It was late.", "He saw Dr. Thale there.", "Then they left."]) for _ in range(8)), 0.0, "en") for i in range(300)]
+    frame = spark.createDataFrame(docs, EXTRA)
+    known = R.learn_periods(frame, "text")
+    graph = R.document_graph(frame, R.opinions(spark.createDataFrame([], LAB)), known)
+    assert {len(r.lengths) for r in graph.where("vocabulary is null").collect()} == {8}
 
 
 def test_long_text(spark):
