@@ -1,7 +1,10 @@
-"""String, hash, set and vector expressions; all of them stay inside the JVM."""
+"""String, hash, set and vector expressions; all but ``nfkc`` stay inside the JVM."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +43,11 @@ def without_blanks(text: Column | str) -> Column:
     return F.regexp_replace(F.coalesce(col(text), F.lit("")), BLANKS, "")
 
 
+def trim_blanks(text: Column | str) -> Column:
+    """Without blanks of any kind at both ends."""
+    return F.regexp_replace(col(text), f"^{BLANKS}+|{BLANKS}+$", "")
+
+
 def tokens(text: Column | str) -> Column:
     """All characters, then all adjacent pairs, blanks dropped; null and empty give an empty array."""
     t = without_blanks(text)
@@ -57,34 +65,34 @@ def bigram_set(text: Column | str) -> Column:
     return F.array_distinct(F.when(F.length(t) == 1, F.array(t)).otherwise(pairs(t)))
 
 
-def fold_plain(text: Column | str) -> Column:
-    """Lower case without blanks and punctuation; width folding is the caller's (``fold_width``)."""
-    return F.regexp_replace(F.regexp_replace(F.lower(col(text)), BLANKS, ""), "\\p{P}", "")
+def nfkc(text: Column | str) -> Column:
+    """Compatibility form, as an Arrow function: the JVM's expressions have none."""
+    normalize = unicodedata.normalize
 
+    @F.pandas_udf("string")
+    def form(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else normalize("NFKC", t))
 
-def fold_width(text: Column | str) -> Column:
-    """Full-width ASCII and the ideographic blank to their narrow forms, by one ``translate``."""
-    wide = "".join(chr(o) for o in range(0xFF01, 0xFF5F)) + "\u3000"
-    narrow = "".join(chr(o - 0xFEE0) for o in range(0xFF01, 0xFF5F)) + " "
-    return F.translate(col(text), wide, narrow)
+    return form(col(text))
 
 
 def bank_form(text: Column | str) -> Column:
-    """The question bank's comparison form: narrow, lower case, no blanks, no punctuation."""
-    return fold_plain(fold_width(text))
+    """The question bank's comparison form: compatibility form, lower case, no blanks, no punctuation."""
+    return F.regexp_replace(F.regexp_replace(F.lower(nfkc(text)), BLANKS, ""), "\\p{P}", "")
 
 
 def evidence_form(text: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(col(text), EVIDENCE_MARKS, ""), BLANKS, "")
 
 
-def route_signature(text: Column | str) -> Column:
-    return F.translate(bank_form(text), ROUTE_PARTICLES, "")
+def route_signature(form: Column | str) -> Column:
+    """The bank form without particles."""
+    return F.translate(col(form), ROUTE_PARTICLES, "")
 
 
 def lexical_similarity(a: Column | str, b: Column | str) -> Column:
-    """1 - edit distance over the longer signature; 0 if either is empty, 1 if equal."""
-    x, y = route_signature(a), route_signature(b)
+    """1 - edit distance over the longer of two route signatures; 0 if either is empty, 1 if equal."""
+    x, y = col(a), col(b)
     return F.when((F.length(x) == 0) | (F.length(y) == 0), F.lit(0.0)).otherwise(1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)))
 
 

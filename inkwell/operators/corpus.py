@@ -46,13 +46,23 @@ def is_lead(line: Column | str) -> Column:
     return c.endswith("：") & (F.length(c) <= LEAD) & ~c.rlike(f"[{STOPS}]")
 
 
-def _outside_quotes(c: Column) -> Column:
-    """The text with quoted parts emptied: innermost curly quotes first, twice for nesting."""
-    return F.regexp_replace(F.regexp_replace(c, "‘[^‘’]*’", "‘’"), "“[^“”]*”", "“”")
+def outside_quotes(c: Column) -> Column:
+    """The text that no curly quotation holds, with the marks; a quotation that never closes holds the rest, a mark
+    that closes nothing is passed over. Marks stay, so that words on both sides of one never join."""
+    runs = F.regexp_extract_all(c, F.lit("[“‘]|[”’]|[^“‘”’]+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def step(s: Column, run: Column) -> Column:
+        opens, closes = run.isin("“", "‘"), run.isin("”", "’")
+        depth = F.when(opens, s["depth"] + 1).when(closes, F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
+        return F.struct(depth.alias("depth"), F.when(opens | closes | (s["depth"] == 0), F.concat(s["out"], run)).otherwise(s["out"]).alias("out"))
+
+    return F.aggregate(runs, start, step, lambda s: s["out"])
 
 
 def announces_verse(line: Column | str) -> Column:
-    return _outside_quotes(X.col(line)).rlike("|".join(VERSE_WORDS))
+    words, c = "|".join(VERSE_WORDS), X.col(line)
+    return c.rlike(words) & outside_quotes(c).rlike(words)
 
 
 def looks_like_verse(line: Column | str, long: tuple[int, int] = (2, 9), short: tuple[int, int] = (4, 5)) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from inkwell.functions import text as X
 from inkwell.operators.matching import substring_join
-from inkwell.runtime import BROADCAST_BYTES, ship, spread
+from inkwell.runtime import BROADCAST_BYTES, cut, ship, spread
 
 
 def _texts(c: str) -> Column:
@@ -165,12 +165,16 @@ def scan_texts(texts: DataFrame, lex: DataFrame, most_bytes: int = BROADCAST_BYT
                 yield finish(doc, text, hits)
 
         return source.mapInArrow(by_automaton, SCANNED)
-    places = source.select("doc", "text", F.posexplode(X.pairs("text")).alias("at", "gram")).unionByName(source.select("doc", "text", F.posexplode(X.singles("text")).alias("at", "gram")))
+    # only row numbers, places and pairs meet the lexicon; the texts are fetched for the rows that met a word
+    source = cut(source.withColumn("__row", F.monotonically_increasing_id()))
+    places = source.select("__row", F.posexplode(X.pairs("text")).alias("at", "gram")).unionByName(source.select("__row", F.posexplode(X.singles("text")).alias("at", "gram")))
     found = (
         places.join(lex.withColumn("gram", F.substring("word", 1, 2)), "gram")
+        .join(source, "__row")
         .where(F.substring(F.col("text"), F.col("at") + 1, F.length("word")) == F.col("word"))
-        .groupBy("doc", "text")
+        .groupBy("__row", "doc", "text")
         .agg(F.collect_list(F.struct("at", "word", "key_of", "fragment_of")).alias("hits"))
+        .drop("__row")
     )
 
     def by_join(batches):

@@ -60,20 +60,32 @@ def members(valid: DataFrame, chunks: DataFrame) -> DataFrame:
     return found.select("eventid", "doc", "chunk_id", F.row_number().over(order).alias("place"))
 
 
+def without_drift(valid: DataFrame, chunks: DataFrame, most: float = DRIFT) -> DataFrame:
+    """The groups searches may use: none if more than ``most`` of the references are gone; else references that
+    are gone leave their groups, and groups left without any go, as do those that never had one."""
+    degraded = drift(valid, chunks, most).select("degraded")  # one row
+    known = chunks.where("chunk_id is not null").select("chunk_id").distinct()
+    refs = valid.select("eventid", F.posexplode("chunkids").alias("at", "chunk_id")).join(known, "chunk_id")
+    kept = refs.groupBy("eventid").agg(F.array_sort(F.collect_list(F.struct("at", "chunk_id"))).alias("__r"))  # one group's members
+    ids = F.transform("__r", lambda r: r["chunk_id"])
+    return valid.drop("chunkids").join(kept, "eventid").crossJoin(F.broadcast(degraded)).where("not degraded").select("eventid", "eventname", "aliases", ids.alias("chunkids"), "group_type")
+
+
 def bridges(queries: DataFrame, keys: DataFrame) -> DataFrame:
-    """(qid, eventid, eventname, group_type, matched, priority): groups named in a query.
+    """(qid, kind, eventid, eventname, group_type, matched, poolable, driver): groups named in a query.
 
-    The longest key of a group that the query contains is its match (ties by key); priority orders a
-    query's groups by the length of the match, then id.
+    ``keys(kind, eventid, eventname, group_type, key)``. The longest key of a group that the query contains is its
+    match (ties by key). Groups other than events of type L3 are ``poolable``; among a query's poolable groups
+    ``driver`` counts events before allusions, then longer matches first, then by id. It is null for the others.
     """
     hits = substring_join(queries.select("qid", "text"), "text", keys, "key").drop("text")
-    longest = Window.partitionBy("qid", "eventid").orderBy(F.length("key").desc(), "key")
-    one = hits.withColumn("__n", F.row_number().over(longest)).where("__n = 1")
-    order = Window.partitionBy("qid").orderBy(F.length("key").desc(), "eventid")
-    return one.select("qid", "eventid", "eventname", "group_type", F.col("key").alias("matched"), F.row_number().over(order).alias("priority"))
+    longest = Window.partitionBy("qid", "kind", "eventid").orderBy(F.length("key").desc(), "key")
+    one = hits.withColumn("__n", F.row_number().over(longest)).where("__n = 1").withColumn("poolable", (F.col("kind") != "event") | (F.col("group_type") != "L3"))
+    order = Window.partitionBy("qid", "poolable").orderBy((F.col("kind") != "event"), F.length("key").desc(), "eventid")
+    return one.select("qid", "kind", "eventid", "eventname", "group_type", F.col("key").alias("matched"), "poolable", F.when(F.col("poolable"), F.row_number().over(order)).alias("driver"))
 
 
 def enhanced_queries(queries: DataFrame, matched: DataFrame) -> DataFrame:
-    """(qid, text): the query, its first group's name and the matched key."""
-    first = matched.where("priority = 1").select("qid", "eventname", "matched")
+    """(qid, text): the query, its driving group's name and the matched key."""
+    first = matched.where("driver = 1").select("qid", "eventname", "matched")
     return queries.join(first, "qid").select("qid", F.concat("text", "eventname", "matched").alias("text"))

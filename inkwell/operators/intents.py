@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from inkwell.operators.matching import substring_join
 
@@ -21,6 +20,10 @@ INTENTS = (
     ("death_aftermath", "死后|死了之后|结局|后来.*(怎样|如何)|之后.*(继任|接任|怎样)"),
 )
 BIRTH = "出场|登场|出世|露面|亮相|舞台|现身|出现"
+# Words of tags about last words.
+LAST_WORDS = "托孤|遗诏|遗令|遗言|遗嘱|遗书|遗表|临终"
+# Tags that name a person: kind, beginning, ending.
+PERSON_TAGS = (("death", "人物之死-", "之死"), ("birth", "人物之生-", "登场"), ("birth", "登场-", ""), ("speech", "遗言-", ""))
 
 
 def intent_of(text: str) -> Column:
@@ -31,6 +34,31 @@ def intent_of(text: str) -> Column:
     return F.when(c.rlike(DEATH_GATE), out)
 
 
+def direction_of(intent: Column) -> Column:
+    """How a query's pins are ordered: later first for what came after, by score for last words, else earlier first."""
+    return F.when(intent == "death_aftermath", -1).when(intent == "death_last_words", 0).otherwise(1)
+
+
+def people_of_tags(tagged: DataFrame) -> DataFrame:
+    """(kind, person, doc) of ``tagged(doc, tag)``: deaths, first appearances and last words of persons.
+
+    Beside the tags that name a person by their form, a chunk with a tag about last words is one of every person
+    of a death tag whose name its tags contain.
+    """
+    kind = person = None
+    for k, begin, end in PERSON_TAGS:
+        fits = F.col("tag").startswith(begin)
+        rest = F.substring(F.col("tag"), len(begin) + 1, 1 << 20)
+        rest = F.regexp_replace(rest, end + "$", "") if end else rest
+        kind = F.when(fits, k) if kind is None else kind.when(fits, k)
+        person = F.when(fits, rest) if person is None else person.when(fits, rest)
+    named = tagged.select(kind.alias("kind"), person.alias("person"), "doc").where("kind is not null and person <> ''").distinct()
+    dead = named.where("kind = 'death'").select("person").distinct()
+    last = tagged.where(F.col("tag").rlike(LAST_WORDS)).select("doc").distinct()
+    said = substring_join(tagged.join(last, "doc", "left_semi").select("doc", "tag"), "tag", dead, "person").select(F.lit("speech").alias("kind"), "person", "doc")
+    return named.unionByName(said).distinct()
+
+
 def intent_pins(queries: DataFrame, people: DataFrame, expanded: DataFrame | None = None) -> DataFrame:
     """(qid, doc, direction): chunks that the intents of ``queries(qid, text)`` pin.
 
@@ -55,13 +83,4 @@ def intent_pins(queries: DataFrame, people: DataFrame, expanded: DataFrame | Non
         .otherwise(F.lit(False))
     )
     kept = rows.where(death_kinds | (F.col("birth") & (F.col("kind") == "birth")))
-    direction = F.when(F.col("intent") == "death_aftermath", -1).when(F.col("intent") == "death_last_words", 0).otherwise(1)
-    return kept.select("qid", "doc", direction.alias("direction")).distinct()
-
-
-def pinned_by_intent(pool: DataFrame, pins: DataFrame) -> DataFrame:
-    """The pool ranked with its pins first, in the direction each query asks for. Pins outside the pool add nothing."""
-    flagged = pool.join(pins, ["qid", "doc"], "left")
-    inside = F.when(F.col("direction") != 0, F.col("doc") * F.col("direction"))
-    order = Window.partitionBy("qid").orderBy(F.col("direction").isNotNull().desc(), inside.asc_nulls_last(), F.col("score").desc(), F.col("doc"))
-    return flagged.withColumn("pinned", F.col("direction").isNotNull().cast("int")).withColumn("rank", F.row_number().over(order)).drop("direction")
+    return kept.select("qid", "doc", direction_of(F.col("intent")).alias("direction")).distinct()

@@ -79,55 +79,80 @@ def top_k(scores: DataFrame, k: int, *order: Column, by: str = "qid") -> DataFra
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def cosine_scores(query_vectors: DataFrame, vectors: DataFrame, k: int | None = None) -> DataFrame:
-    """(qid, doc, cosine) of every query against every row, or of the ``k`` best of each batch of rows.
+def cosine_scores(query_vectors: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(qid, doc, cosine) of the ``k`` best rows of each batch of rows for every query.
 
     Queries are taken in blocks of ``QUERY_BLOCK`` whose matrix is broadcast (its size doesn't grow with the
-    data); each block is one pass over the rows, multiplied as matrices in Arrow batches. With ``k`` a batch
-    sends only what can still be among the best (ties by rounded cosine, then id), so ``top_k`` after it
-    is exact. Vectors of another length, null vectors and vectors without length are left out.
+    data); each block is one pass over the rows, multiplied as matrices in Arrow batches. A batch sends only what
+    can still be among the best (ties by rounded cosine, then id), so ``top_k`` after it is exact. A query meets
+    the rows of its own length; null vectors and vectors without length are left out.
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = [(r.qid, r.embedding) for r in query_vectors.where("embedding is not null").orderBy("qid").toLocalIterator()]
     schema = "qid bigint, doc bigint, cosine double"
     source = vectors.select(F.col("doc").cast("bigint").alias("doc"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
+    asked = query_vectors.where("embedding is not null").select(F.col("qid").cast("bigint").alias("qid"), F.col("embedding").cast("array<double>").alias("embedding"))
     out = spark.createDataFrame([], schema)
-    for begin in range(0, len(rows), QUERY_BLOCK):
-        block = rows[begin : begin + QUERY_BLOCK]
-        dims = len(block[0][1])
-        matrix = np.asarray([v for _, v in block if len(v) == dims], np.float64)
-        ids = np.asarray([i for i, v in block if len(v) == dims], np.int64)
-        norms = np.linalg.norm(matrix, axis=1)
-        shared = spark.sparkContext.broadcast((ids[norms > 0], matrix[norms > 0] / norms[norms > 0, None]))
-        out = out.unionByName(_scored(source, shared, dims, k, schema))
+    for block in _query_blocks(asked):
+        by_length = {}
+        for n in sorted({len(v) for _, v in block if len(v)}):
+            ids = np.asarray([i for i, v in block if len(v) == n], np.int64)
+            matrix = np.asarray([v for _, v in block if len(v) == n], np.float64)
+            norms = np.linalg.norm(matrix, axis=1)
+            by_length[n] = ids[norms > 0], matrix[norms > 0] / norms[norms > 0, None]
+        out = out.unionByName(_scored(source, spark.sparkContext.broadcast(by_length), k, schema))
     return out
 
 
-def _scored(source: DataFrame, shared, dims: int, k: int | None, schema: str) -> DataFrame:
+def _query_blocks(asked: DataFrame):
+    """Blocks of at most ``QUERY_BLOCK`` (qid, vector), read from the driver one at a time."""
+    block = []
+    for r in asked.toLocalIterator():
+        block.append((r.qid, r.embedding))
+        if len(block) == QUERY_BLOCK:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def _scored(source: DataFrame, shared, k: int, schema: str) -> DataFrame:
     def run(batches):
-        ids, q = shared.value
         for batch in batches:
             docs, lists = batch.column(0).to_numpy(), batch.column(1)
             size = np.diff(lists.offsets.to_numpy())
-            ok = size == dims
-            x = lists.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-            docs = docs[ok]
-            norm = np.linalg.norm(x, axis=1)
-            x, docs = x[norm > 0] / norm[norm > 0, None], docs[norm > 0]
-            if not len(docs) or not len(ids):
-                continue
-            scores = q @ x.T
-            if k is None or k >= len(docs):
-                rows, cols = np.indices(scores.shape).reshape(2, -1)
-            else:
-                order = np.lexsort((np.broadcast_to(docs, scores.shape), -np.floor(scores * 1e6 + 0.5)), axis=1)[:, :k]
-                rows, cols = np.repeat(np.arange(len(ids)), k), order.reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(docs[cols]), pa.array(scores[rows, cols])], ["qid", "doc", "cosine"])
+            for dims, (ids, q) in shared.value.items():
+                ok = size == dims
+                if not ok.any() or not len(ids):
+                    continue
+                x = lists.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+                norm = np.linalg.norm(x, axis=1)
+                x, own = x[norm > 0] / norm[norm > 0, None], docs[ok][norm > 0]
+                scores = q @ x.T
+                n = min(k, len(own))
+                order = np.lexsort((np.broadcast_to(own, scores.shape), -np.floor(scores * 1e6 + 0.5)), axis=1)[:, :n]
+                rows, cols = np.repeat(np.arange(len(ids)), n), order.reshape(-1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(own[cols]), pa.array(scores[rows, cols])], ["qid", "doc", "cosine"])
 
     return source.mapInArrow(run, schema)
 
 
+def with_cosine(pairs: DataFrame, query_vectors: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``pairs(qid, doc, ..)`` with ``cosine``, null where either vector is missing, has no length, or the lengths differ.
+
+    Only the pairs at hand are computed: rows meet their two vectors, scaled to length 1 before, in two joins.
+    """
+
+    def unit(frame: DataFrame, key: str, out: str) -> DataFrame:
+        v = F.transform("embedding", lambda e: e.cast("double"))
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, e: s + e * e))
+        return frame.where("embedding is not null").select(key, v.alias("__v"), norm.alias("__n")).where("__n > 0").select(key, F.transform("__v", lambda e: e / F.col("__n")).alias(out))
+
+    both = pairs.join(unit(query_vectors, "qid", "__q"), "qid", "left").join(unit(vectors, "doc", "__d"), "doc", "left")
+    dot = F.aggregate(F.zip_with("__q", "__d", lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e)
+    return both.withColumn("cosine", F.when(F.size("__q") == F.size("__d"), dot)).drop("__q", "__d")
+
+
 def vector_top(query_vectors: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(qid, doc, cosine, rank) of the ``k`` best rows by the cosine to six digits, then id."""
     return top_k(cosine_scores(query_vectors, vectors, k), k, X.fixed(F.col("cosine"), 6).desc(), F.col("doc"))
@@ -139,6 +164,15 @@ def gated_fallback(best: DataFrame, least: float = MIN_COSINE) -> DataFrame:
     return best.join(passed, "qid", "left_semi")
 
 
+def vector_candidates(query_vectors: DataFrame, vectors: DataFrame, touched: DataFrame, limit: int = FALLBACK_TOP) -> DataFrame:
+    """(qid, doc): the ``VECTOR_TOP`` nearest rows of queries that other routes ``touched(qid)``; of the others the
+    first ``limit`` (``FALLBACK_TOP`` at least), and none where the nearest doesn't reach the gate."""
+    ranked = vector_top(query_vectors, vectors, max(VECTOR_TOP, limit))
+    known = ranked.join(touched.select("qid", F.lit(1).alias("__t")).distinct(), "qid", "left")
+    alone = gated_fallback(known.where("__t is null").where(F.col("rank") <= max(limit, FALLBACK_TOP)))
+    return known.where("__t is not null").where(F.col("rank") <= VECTOR_TOP).select("qid", "doc").unionByName(alone.select("qid", "doc"))
+
+
 def tag_rows(tags: DataFrame, chunks: DataFrame) -> DataFrame:
     """(doc, chunk_id, tag): tags of existing body chunks; dead keys and blank tags are dropped, repeats merge."""
     each = tags.where("chunk_id is not null").select("chunk_id", F.explode(X.tag_list("tags")).alias("tag")).distinct()
@@ -149,18 +183,26 @@ def tag_rows(tags: DataFrame, chunks: DataFrame) -> DataFrame:
 OWN_PREFIXES = ("登场-", "遗言-", *X.TAG_PREFIXES)
 
 
-def tag_hits(queries: DataFrame, tagged: DataFrame) -> DataFrame:
-    """(qid, doc): chunks sharing a token of two or more characters with the query through a tag."""
-    terms = tagged.select("doc", F.explode(X.tokens(X.strip_tag_type("tag", OWN_PREFIXES))).alias("term")).where("length(term) >= 2").distinct()
+def tag_terms(tagged: DataFrame, expanded: DataFrame | None = None) -> DataFrame:
+    """(doc, term): distinct tokens of two or more characters of the tags' contents and of the canonical forms
+    ``expanded(doc, canonical)`` that aliases in the tags stand for."""
+    contents = tagged.select("doc", X.strip_tag_type("tag", OWN_PREFIXES).alias("t"))
+    if expanded is not None:
+        contents = contents.unionByName(expanded.select("doc", F.col("canonical").alias("t")))
+    return contents.select("doc", F.explode(X.tokens("t")).alias("term")).where("length(term) >= 2").distinct()
+
+
+def tag_hits(queries: DataFrame, terms: DataFrame) -> DataFrame:
+    """(qid, doc): chunks sharing a token of two or more characters with the query through ``terms(doc, term)`` of their tags."""
     asked = query_terms(queries, distinct=True).where("length(term) >= 2")
     return asked.join(terms, "term").select("qid", "doc").distinct()
 
 
-def fuse(lexical: DataFrame, tagged: DataFrame, best: DataFrame, cosines: DataFrame) -> DataFrame:
+def fuse(lexical: DataFrame, tagged: DataFrame, best: DataFrame, query_vectors: DataFrame | None, vectors: DataFrame | None) -> DataFrame:
     """The pool with its parts and score.
 
-    ``lexical(qid, doc, bm25, bm25_norm)``, ``tagged(qid, doc)``, ``best(qid, doc)`` vector candidates,
-    ``cosines(qid, doc, cosine)``. A missing part counts 0 in the score and stays null in its column.
+    ``lexical(qid, doc, bm25, bm25_norm)``, ``tagged(qid, doc)``, ``best(qid, doc)`` vector candidates. A missing
+    part counts 0 in the score and stays null in its column.
     """
     pool = (
         lexical.select("qid", "doc", "bm25", "bm25_norm", F.lit(0).alias("tag_hit"), F.lit(0).alias("vector_hit"))
@@ -169,7 +211,7 @@ def fuse(lexical: DataFrame, tagged: DataFrame, best: DataFrame, cosines: DataFr
         .groupBy("qid", "doc")
         .agg(F.max("bm25").alias("bm25"), F.max("bm25_norm").alias("bm25_norm"), F.coalesce(F.max("tag_hit"), F.lit(0)).alias("tag_hit"), F.coalesce(F.max("vector_hit"), F.lit(0)).alias("vector_hit"))
     )
-    return with_score(pool.join(cosines.select("qid", "doc", "cosine"), ["qid", "doc"], "left"))
+    return with_score(with_cosine(pool, query_vectors, vectors) if vectors is not None and query_vectors is not None else pool.withColumn("cosine", F.lit(None).cast("double")))
 
 
 def with_score(pool: DataFrame) -> DataFrame:
@@ -195,17 +237,16 @@ def gap_to_next(ranked: DataFrame, limit: int) -> DataFrame:
     return two.withColumn("gap", X.fixed(F.greatest(F.lit(0.0), F.col("last_score") - F.col("next_score")), 6))
 
 
-def add_members(pool: DataFrame, members: DataFrame, lexical: DataFrame, cosines: DataFrame, tagged: DataFrame) -> DataFrame:
+def add_members(pool: DataFrame, members: DataFrame, lexical: DataFrame, tagged: DataFrame, query_vectors: DataFrame | None, vectors: DataFrame | None) -> DataFrame:
     """Group members not yet in the pool join it with the score their parts give them."""
     new = members.select("qid", "doc").distinct().join(pool.select("qid", "doc"), ["qid", "doc"], "left_anti")
-    scored = with_score(
+    parts = (
         new.join(lexical.select("qid", "doc", "bm25", "bm25_norm"), ["qid", "doc"], "left")
-        .join(cosines.select("qid", "doc", "cosine"), ["qid", "doc"], "left")
         .join(tagged.select("qid", "doc", F.lit(1).alias("tag_hit")), ["qid", "doc"], "left")
         .withColumn("tag_hit", F.coalesce("tag_hit", F.lit(0)))
         .withColumn("vector_hit", F.lit(0))
     )
-    return pool.unionByName(scored)
+    return pool.unionByName(with_score(with_cosine(parts, query_vectors, vectors) if vectors is not None and query_vectors is not None else parts.withColumn("cosine", F.lit(None).cast("double"))))
 
 
 def cap_pool(pool: DataFrame, matched: DataFrame, cap: int = POOL_CAP) -> DataFrame:
@@ -215,32 +256,52 @@ def cap_pool(pool: DataFrame, matched: DataFrame, cap: int = POOL_CAP) -> DataFr
     return best.unionByName(pool.join(hit, "qid", "left_anti"))  # these are never ordered
 
 
-def rescore(pool: DataFrame, enhanced: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Pools of ``enhanced(qid, text)`` scored again: only the lexical part changes, scaled inside the pool."""
-    inside = bm25(enhanced, chunks, distinct=True).join(pool.select("qid", "doc"), ["qid", "doc"], "left_semi")
+def rescore(pool: DataFrame, enhanced: DataFrame) -> DataFrame:
+    """Pools of the queries in ``enhanced(qid, doc, bm25)``, lexical scores of other words, scored again: only the
+    lexical part changes, scaled inside the pool."""
+    inside = enhanced.join(pool.select("qid", "doc"), ["qid", "doc"], "left_semi")
     normed = min_max(inside, "bm25", "bm25_norm").select("qid", "doc", "bm25", "bm25_norm")
-    of = pool.join(enhanced.select("qid").distinct(), "qid", "left_semi").drop("bm25", "bm25_norm", "score")
-    return with_score(of.join(normed, ["qid", "doc"], "left"))
+    return with_score(pool.drop("bm25", "bm25_norm", "score").join(normed, ["qid", "doc"], "left"))
+
 
+def pinned_order(pool: DataFrame, pins: DataFrame, keep: int | None = None) -> DataFrame:
+    """Pinned rows of the pool first, the rest by score, then id. Pins never add rows.
 
-def pinned_order(pool: DataFrame, pins: DataFrame, later_first: bool = False) -> DataFrame:
-    """Pinned rows of the pool first, by id; the rest by score, then id. Pins never add rows."""
-    flagged = pool.join(pins.select("qid", "doc", F.lit(1).alias("pinned")).distinct(), ["qid", "doc"], "left").withColumn("pinned", F.coalesce("pinned", F.lit(0)))
-    by_id = F.when(F.col("pinned") == 1, -F.col("doc") if later_first else F.col("doc"))
-    order = Window.partitionBy("qid").orderBy(F.col("pinned").desc(), by_id.asc_nulls_last(), F.col("score").desc(), F.col("doc"))
-    return flagged.withColumn("rank", F.row_number().over(order))
+    ``pins(qid, doc, direction)``: a query's pins go by id (1 earlier first, -1 later first) or, with 0, by score;
+    without the column earlier first. ``keep`` limits the ranks that come out: pins are ranked apart, and of the
+    others only as many are ordered as can still be within it.
+    """
+    pins = pins if "direction" in pins.columns else pins.withColumn("direction", F.lit(1))
+    marks = pins.groupBy("qid", "doc").agg(F.min("direction").alias("direction"))
+    flagged = pool.join(marks, ["qid", "doc"], "left")
+    by_id = F.when(F.col("direction") != 0, F.col("doc") * F.col("direction"))
+    first = flagged.where("direction is not null").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(by_id.asc_nulls_last(), F.desc("score"), "doc")))
+    rest = flagged.where("direction is null").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc")))
+    if keep is not None:
+        first, rest = first.where(F.col("rank") <= keep), rest.where(F.col("rank") <= keep)
+    pinned = first.groupBy("qid").agg(F.max("rank").alias("__pinned"))
+    placed = rest.join(pinned, "qid", "left").withColumn("rank", F.col("rank") + F.coalesce("__pinned", F.lit(0))).drop("__pinned")
+    out = first.withColumn("pinned", F.lit(1)).unionByName(placed.withColumn("pinned", F.lit(0))).drop("direction")
+    return out if keep is None else out.where(F.col("rank") <= keep)
 
 
 def rerank_window(ranked: DataFrame, external: str | None, window: int = RERANK_WINDOW) -> DataFrame:
     """Inside the first ``window`` ranks the unpinned rows are ordered by ``external`` (a column), then rank;
-    pinned rows stay ahead, rows beyond the window stay behind. Without scores the order stays, and
-    ``degraded`` says why."""
+    pinned rows stay ahead, rows beyond the window keep their ranks. ``degraded`` says why a query's order stays:
+    ``no_scorer`` (no column), ``no_candidates`` (nothing unpinned in the window), or what ``reason``, a column
+    of the scorer's, holds in one of its rows."""
+    none = F.lit(None).cast("string")
     if external is None:
         return ranked.withColumn("final_rank", F.col("rank")).withColumn("degraded", F.lit("no_scorer"))
-    zone = F.when(F.col("rank") > window, 2).when(F.col("pinned") == 1, 0).otherwise(1)
-    by = F.when(zone == 1, F.col(external))
-    order = Window.partitionBy("qid").orderBy(zone, by.desc_nulls_last(), F.col("rank"))
-    return ranked.withColumn("final_rank", F.row_number().over(order)).withColumn("degraded", F.lit(None).cast("string"))
+    inside = ranked.where(F.col("rank") <= window)
+    beyond = ranked.where(F.col("rank") > window).withColumn("final_rank", F.col("rank")).withColumn("degraded", none)
+    own = Window.partitionBy("qid")  # at most ``window`` rows
+    reason = F.max("reason").over(own) if "reason" in ranked.columns else none
+    why = F.when(F.min("pinned").over(own) == 1, "no_candidates").otherwise(reason)
+    flagged = inside.withColumn("degraded", why)
+    by = F.when((F.col("pinned") == 0) & F.col("degraded").isNull(), F.col(external))
+    order = own.orderBy(F.desc("pinned"), by.desc_nulls_last(), F.col("rank"))
+    return flagged.withColumn("final_rank", F.row_number().over(order)).unionByName(beyond)
 
 
 def hit_labels(queries: DataFrame, tagged: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -251,14 +312,18 @@ def hit_labels(queries: DataFrame, tagged: DataFrame, ranked: DataFrame) -> Data
 
 
 def placed_members(matched: DataFrame, members: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(qid, eventid, group_size, placed): matched groups and how many of their members were returned.
+    """(qid, kind, eventid, group_size, placed, docs): matched groups, how many of their members were returned, and
+    which: in order of result, those of L3 groups in inner order, as a list in one string.
 
-    ``matched(qid, eventid)``, ``members(eventid, doc)``, ``ranked(qid, doc)``.
+    ``matched(qid, kind, eventid, group_type)``, ``members(kind, eventid, doc, place)``, ``ranked(qid, doc, rank)`` of a bounded rank.
     """
-    of = matched.select("qid", "eventid").join(members.select("eventid", "doc"), "eventid")
-    sizes = of.groupBy("qid", "eventid").agg(F.countDistinct("doc").alias("group_size"))
-    placed = of.join(ranked.select("qid", "doc"), ["qid", "doc"], "left_semi").groupBy("qid", "eventid").agg(F.countDistinct("doc").alias("placed"))
-    return matched.select("qid", "eventid").distinct().join(sizes, ["qid", "eventid"], "left").join(placed, ["qid", "eventid"], "left").fillna({"group_size": 0, "placed": 0})
+    of = matched.select("qid", "kind", "eventid", "group_type").join(members.select("kind", "eventid", "doc", "place"), ["kind", "eventid"])
+    by = ["qid", "kind", "eventid"]
+    sizes = of.groupBy(*by).agg(F.countDistinct("doc").alias("group_size"))
+    at = F.when(F.col("group_type") == "L3", F.col("place")).otherwise(F.col("rank"))
+    docs = F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), "doc"))), lambda x: x["doc"].cast("string"))
+    placed = of.join(ranked.select("qid", "doc", "rank"), ["qid", "doc"]).groupBy(*by).agg(F.countDistinct("doc").alias("placed"), F.array_join(docs, ",").alias("docs"))
+    return matched.select(*by).distinct().join(sizes, by, "left").join(placed, by, "left").fillna({"group_size": 0, "placed": 0, "docs": ""})
 
 
 def score_pairs(pairs: DataFrame, make_scorer, most: int = 16, out: str = "ce") -> DataFrame:
@@ -275,16 +340,21 @@ def score_pairs(pairs: DataFrame, make_scorer, most: int = 16, out: str = "ce")
         for batch in batches:
             q, t = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             scores: list[float | None] = [None] * len(q)
-            if scorer is not None:
-                order = sorted(range(len(q)), key=lambda i: (len(q[i] or "") + len(t[i] or ""), i))
-                for a in range(0, len(order), most):
-                    at = order[a : a + most]
-                    for i, s in zip(at, scorer([q[i] or "" for i in at], [t[i] or "" for i in at]), strict=True):
-                        scores[i] = float(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["qid", "doc", out])
+            reasons: list[str | None] = [None if scorer else "no_scorer"] * len(q)
+            order = sorted(range(len(q)), key=lambda i: (len(q[i] or "") + len(t[i] or ""), i)) if scorer else []
+            for a in range(0, len(order), most):
+                at = order[a : a + most]
+                try:
+                    got = [float(s) for s in scorer([q[i] or "" for i in at], [t[i] or "" for i in at])]
+                    why = None if len(got) == len(at) and all(map(np.isfinite, got)) else "bad_scores"
+                except Exception:  # a scorer that fails must not fail the search: its pairs say so
+                    got, why = [], "scorer_failed"
+                for place, i in enumerate(at):
+                    scores[i], reasons[i] = (got[place], None) if why is None else (None, why)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(reasons, pa.string())], ["qid", "doc", out, "reason"])
 
     source = pairs.select(F.col("qid").cast("bigint").alias("qid"), F.col("doc").cast("bigint").alias("doc"), "query", "text")
-    return source.mapInArrow(run, f"qid bigint, doc bigint, {out} double")
+    return source.mapInArrow(run, f"qid bigint, doc bigint, {out} double, reason string")
 
 
 def vector_base64(vectors: DataFrame) -> DataFrame:

@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import BLANKS
+from inkwell.operators import entities as E
+from inkwell.operators import groups as G
+from inkwell.operators import index as I
+from inkwell.operators import pipeline as L
+from inkwell.plans import alias_sql as A
 from inkwell.runtime import table
 
 K = 10
+EVENT_TYPES, ALLUSION_TYPES = ("L1", "L2", "L3"), ("典故",)
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +23,60 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def questions(spark: SparkSession, sf_dir: str, every: int = 100) -> DataFrame:
     """The query set of searches: every question whose id is divisible by 100, against all rows."""
-    return table(spark, sf_dir, "event_question_pool").where("question_id % 100 = 0 and question is not null").select(F.col("question_id").alias("qid"), F.col("question").alias("text"))
+    return table(spark, sf_dir, "event_question_pool").where(f"question_id % {every} = 0 and question is not null").select(F.col("question_id").alias("qid"), F.col("question").alias("text"))
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven more queries (qid -1 to -7) that name what the tables hold, so that every stage of a search has work:
+    a group of each type, a first appearance, last words, and three groups in one question."""
+    events = table(spark, sf_dir, "event_groups").where("eventid <> '' and eventname <> ''").where(F.col("group_type").isin(*EVENT_TYPES))
+    groups = events.select("group_type", "eventid", "eventname").unionByName(table(spark, sf_dir, "allusions").where("eventid <> '' and eventname <> ''").where(F.col("group_type").isin(*ALLUSION_TYPES)).select("group_type", "eventid", "eventname"))
+    name = lambda t: F.min_by(F.when(F.col("group_type") == t, F.col("eventname")), F.when(F.col("group_type") == t, F.struct("eventid", "eventname")))
+    named = groups.agg(*[name(t).alias(n) for t, n in zip((*EVENT_TYPES, *ALLUSION_TYPES), "abcd", strict=True)])
+    tags = table(spark, sf_dir, "chunk_tags").select(F.explode(F.split("tags", "\\|")).alias("t")).select(F.trim("t").alias("t"))
+    people = tags.agg(*[F.min(F.when(F.col("t").startswith(k) & (F.length("t") > 3), F.substring("t", 4, 1 << 20))).alias(n) for k, n in (("登场-", "e"), ("遗言-", "f"))])
+    one = named.crossJoin(F.broadcast(people))  # one row each
+    texts = ["a || '是怎么回事？'", "b || '是怎么回事？'", "c || '是怎么回事？'", "d || '是怎么回事？'", "e || '第一次登场在哪一段？'", "f || '的遗言是什么？'", "c || '与' || d || '与' || b"]
+    return one.selectExpr(f"posexplode(array({', '.join(texts)})) as (i, text)").select((-1 - F.col("i")).cast("bigint").alias("qid"), "text").where("text is not null")
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions(spark, sf_dir).unionByName(cases(spark, sf_dir))
+
+
+def valid_aliases(spark: SparkSession, sf_dir: str, wide: bool = True) -> DataFrame:
+    return E.valid_entities(table(spark, sf_dir, "entity_table"), wide=wide)
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.valid_groups(table(spark, sf_dir, "event_groups"), EVENT_TYPES)
+
+
+def allusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.valid_groups(table(spark, sf_dir, "allusions"), ALLUSION_TYPES)
+
+
+_made: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, what: str, make):
+    """Made once per session and folder, as a server prepares its corpus once."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> L.Corpus:
+    """The prepared corpus of the tables: stored index, tag terms, group keys and members, persons."""
+    make = lambda: L.prepare(chunks(spark, sf_dir), table(spark, sf_dir, "chunk_tags"), valid_aliases(spark, sf_dir), events(spark, sf_dir), allusions(spark, sf_dir), vectors(spark, sf_dir))
+    return _once(spark, sf_dir, "corpus", make)
+
+
+def index(spark: SparkSession, sf_dir: str) -> I.Index:
+    return corpus(spark, sf_dir).index
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +102,18 @@ COSINE = "list_cosine_similarity(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))"
 
 CTE_DOCS = f"docs AS (SELECT row_id AS doc, chunk_role AS role, chunk_id, text, {tokens_sql('text')} AS toks FROM sanguo_yanyi)"
 CTE_STATS = "stats AS (SELECT count(*) AS n, avg(len(toks)) AS avg_len FROM docs)"
+CTE_EXTRA = f"extra AS (SELECT doc, term, sum(times) AS added FROM (SELECT doc, times, unnest(list_distinct({tokens_sql('canonical')})) AS term FROM expanded) GROUP BY doc, term)"
 CTE_POST = "post AS (SELECT doc, any_value(dl) AS dl, term, count(*) AS tf FROM (SELECT doc, len(toks) AS dl, unnest(toks) AS term FROM docs WHERE role = 'body') GROUP BY doc, term)"
 CTE_Q = "q AS (SELECT question_id AS qid, question AS text FROM event_question_pool WHERE question_id % 100 = 0 AND question IS NOT NULL)"
+_NAME = "arg_min(eventname, eventid || chr(1) || eventname) FILTER (WHERE group_type = '{}')"
+CTE_ASKED = f"""caseg AS (SELECT group_type, eventid, eventname FROM event_groups WHERE eventid <> '' AND eventname <> '' AND group_type IN ('L1', 'L2', 'L3')
+  UNION ALL SELECT group_type, eventid, eventname FROM allusions WHERE eventid <> '' AND eventname <> '' AND group_type = '典故'),
+caset AS (SELECT trim(x) AS t FROM (SELECT unnest(string_split(tags, '|')) AS x FROM chunk_tags)),
+case1 AS (SELECT {_NAME.format('L1')} AS a, {_NAME.format('L2')} AS b, {_NAME.format('L3')} AS c, {_NAME.format('典故')} AS d FROM caseg),
+case2 AS (SELECT min(substring(t, 4)) FILTER (WHERE starts_with(t, '登场-') AND length(t) > 3) AS e, min(substring(t, 4)) FILTER (WHERE starts_with(t, '遗言-') AND length(t) > 3) AS f FROM caset),
+case3 AS (SELECT [a || '是怎么回事？', b || '是怎么回事？', c || '是怎么回事？', d || '是怎么回事？', e || '第一次登场在哪一段？', f || '的遗言是什么？', c || '与' || d || '与' || b] AS l FROM case1, case2),
+q AS (SELECT question_id AS qid, question AS text FROM event_question_pool WHERE question_id % 100 = 0 AND question IS NOT NULL
+  UNION ALL SELECT qid, text FROM (SELECT -generate_subscripts(l, 1) AS qid, unnest(l) AS text FROM case3) WHERE text IS NOT NULL)"""
 CTE_QT = f"qt AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({tokens_sql('text')}) AS term FROM q) GROUP BY qid, term)"
 CTE_DF = "df AS (SELECT term, count(*) AS df FROM post GROUP BY term)"
 BM25 = "times * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avg_len)))"
@@ -70,10 +137,14 @@ def strip_sql(tag: str) -> str:
 CTE_TAGGED = """tagged AS (SELECT DISTINCT s.row_id AS doc, s.chunk_id, t.tag FROM
   (SELECT DISTINCT chunk_id, trim(x) AS tag FROM (SELECT chunk_id, unnest(string_split(tags, '|')) AS x FROM chunk_tags WHERE chunk_id IS NOT NULL) WHERE trim(x) <> '') t
   JOIN sanguo_yanyi s ON s.chunk_id = t.chunk_id WHERE s.chunk_role = 'body')"""
-CTE_TAGHIT = f"""taghit AS (SELECT DISTINCT qid, doc FROM (SELECT DISTINCT doc, unnest({tokens_sql('st')}) AS term FROM (SELECT doc, {strip_sql('tag')} AS st FROM tagged))
+CTE_TAGSCAN = A.scan_sql("SELECT tag AS doc, tag AS text FROM (SELECT DISTINCT tag FROM tagged)", "_t")
+CTE_TAGHIT = f"""taghit AS (SELECT DISTINCT qid, doc FROM (SELECT DISTINCT doc, unnest({tokens_sql('st')}) AS term FROM (SELECT doc, {strip_sql('tag')} AS st FROM tagged
+    UNION ALL SELECT t.doc, x.canonical FROM tagged t JOIN expanded_t x ON x.doc = t.tag))
   JOIN qt USING (term) WHERE length(term) >= 2)"""
-CTE_VTOP = f"""vtop AS (SELECT qid, doc FROM (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY {fixed_sql('cosine', 6)} DESC, doc) AS r FROM cosines
-  WHERE qid IN (SELECT qid FROM q) AND doc IN (SELECT doc FROM docs WHERE role = 'body')) WHERE r <= 50)"""
+CTE_VTOP = f"""vt AS (SELECT qid, doc, cosine, row_number() OVER (PARTITION BY qid ORDER BY {fixed_sql('cosine', 6)} DESC, doc) AS r FROM cosines
+  WHERE qid IN (SELECT qid FROM q) AND doc IN (SELECT doc FROM docs WHERE role = 'body')),
+touched AS (SELECT qid FROM lexn UNION SELECT qid FROM taghit),
+vtop AS (SELECT qid, doc FROM vt WHERE qid IN (SELECT qid FROM touched) AND r <= 50 OR qid NOT IN (SELECT qid FROM touched) AND r <= 20 AND qid IN (SELECT qid FROM vt WHERE r = 1 AND cosine >= 0.3))"""
 
 
 def score_sql(norm: str = "bm25_norm") -> str:
@@ -92,4 +163,8 @@ def with_(*ctes: str) -> str:
 
 
 LEXICAL = (CTE_DOCS, CTE_STATS, CTE_POST, CTE_Q, CTE_QT, CTE_DF, CTE_LEX, CTE_LEXN)
-HYBRID = (*LEXICAL, CTE_COS, CTE_TAGGED, CTE_TAGHIT, CTE_VTOP, CTE_POOL)
+#: term counts with what the expansions of aliases add
+CTE_POST_ALL = """post AS (SELECT doc, any_value(dl) AS dl, term, sum(tf) AS tf FROM (SELECT * FROM post0 UNION ALL
+  SELECT e.doc, len(d.toks), e.term, e.added FROM extra e JOIN docs d ON d.doc = e.doc AND d.role = 'body') GROUP BY doc, term)"""
+EXPANDED = (A.SCAN, CTE_EXTRA, CTE_DOCS, CTE_STATS, CTE_POST.replace("post AS", "post0 AS"), CTE_POST_ALL)
+HYBRID = (*EXPANDED, CTE_ASKED, CTE_QT, CTE_DF, CTE_LEX, CTE_LEXN, CTE_COS, CTE_TAGGED, CTE_TAGSCAN, CTE_TAGHIT, CTE_VTOP, CTE_POOL)

@@ -12,7 +12,7 @@ from inkwell.plans import checks, dangling, measures, naming, search
 _MODULES = (dangling, search, naming, measures, checks)
 #: counts and positions come out as bigint, as in the SQL counterparts
 _LONG = {
-    "rank", "final_rank", "place", "priority", "refs", "tokens", "aliases", "keys", "fragments", "first_rank", "to_rank", "from_rank", "line_no", "chars", "clauses", "longest",
+    "rank", "final_rank", "place", "priority", "refs", "tokens", "aliases", "keys", "fragments", "first_rank", "to_rank", "from_rank", "line_no", "chars", "clauses", "longest", "driver", "direction", "top", "written_terms", "terms",
 }
 
 
@@ -31,5 +31,5 @@ SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid top-k of the question set."""
-    return search.hybrid_fusion(spark, sf_dir)
+    """The whole search over the question set."""
+    return naming.search_full(spark, sf_dir)

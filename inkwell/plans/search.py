@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
+from inkwell.operators import entities as E
+from inkwell.operators import index as I
+from inkwell.operators import pipeline as L
 from inkwell.operators import retrieval as R
 from inkwell.plans import frames as P
 from inkwell.plans.frames import K, chunks, fixed_sql, query_vectors, questions, vectors, with_
-from inkwell.runtime import table
+from inkwell.runtime import cut, table
 
 
 def token_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -25,12 +28,19 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return R.corpus_stats(chunks(spark, d)).select("n", X.fixed(F.col("avg_len"), 6).alias("avg_len"))
 
 
+def index_build(spark: SparkSession, d: str) -> DataFrame:
+    """The stored index made anew, with what aliases add: per document its length, terms and counts."""
+    extra = E.double_write(E.expansions(E.scan_texts(chunks(spark, d).select("doc", "text"), E.lexicon(P.valid_aliases(spark, d)))))
+    p = I.build(chunks(spark, d), extra).postings
+    return p.groupBy("doc").agg(F.max("len").alias("tokens"), F.count_if(F.col("tf") > 0).alias("written_terms"), F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("written"), F.sum("added").alias("added"))
+
+
 def _lexical(spark: SparkSession, d: str) -> DataFrame:
-    return R.min_max(R.bm25(questions(spark, d), chunks(spark, d)), "bm25", "bm25_norm")
+    return R.min_max(I.scores(P.index(spark, d), questions(spark, d)), "bm25", "bm25_norm")
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    scored = R.bm25(questions(spark, d), chunks(spark, d)).select("qid", "doc", X.fixed(F.col("bm25"), 6).alias("score"))
+    scored = I.scores(P.index(spark, d), questions(spark, d)).select("qid", "doc", X.fixed(F.col("bm25"), 6).alias("score"))
     return R.top_k(scored, K, F.desc("score"), F.col("doc"))
 
 
@@ -61,23 +71,17 @@ def tag_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tag_route(spark: SparkSession, d: str) -> DataFrame:
-    return R.tag_hits(questions(spark, d), R.tag_rows(table(spark, d, "chunk_tags"), chunks(spark, d)))
+    return R.tag_hits(P.asked(spark, d), P.corpus(spark, d).tag_terms)
 
 
-def parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(lexical, tagged, vector candidates, cosines) of the question set."""
-    c = chunks(spark, d)
-    qs = questions(spark, d)
-    body = c.where("role = 'body'").select("doc")
-    qv = query_vectors(spark, d).join(qs.select("qid"), "qid", "left_semi")
-    cosines = R.cosine_scores(qv, vectors(spark, d))
-    best = R.top_k(R.cosine_scores(qv, vectors(spark, d).join(body, "doc", "left_semi"), R.VECTOR_TOP), R.VECTOR_TOP, X.fixed(F.col("cosine"), 6).desc(), F.col("doc"))
-    tagged = R.tag_hits(qs, R.tag_rows(table(spark, d, "chunk_tags"), c))
-    return _lexical(spark, d), tagged, best, cosines
+def recall(spark: SparkSession, d: str) -> L.Recall:
+    """The three routes of the question set and their pool; words count with what aliases add."""
+    qs = cut(P.asked(spark, d))
+    return L.recall(P.corpus(spark, d), qs, query_vectors(spark, d).join(qs.select("qid"), "qid", "left_semi"), R.FALLBACK_TOP)
 
 
 def pool(spark: SparkSession, d: str) -> DataFrame:
-    return R.fuse(*parts(spark, d))
+    return recall(spark, d).pool
 
 
 def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -96,9 +100,7 @@ def gap_to_next(spark: SparkSession, d: str) -> DataFrame:
 def diagnostics(spark: SparkSession, d: str) -> DataFrame:
     """Explain rows of the first 20 candidates: the score can be computed again from the other columns."""
     top = R.top_k(pool(spark, d), 20, F.desc("score"), F.col("doc"))
-    return top.select("qid", "doc", "rank", X.fixed(F.col("bm25"), 3).alias("bm25"), X.fixed(F.col("bm25_norm"), 6).alias("bm25_norm"), X.fixed(F.col("cosine"), 6).alias("cosine"), "tag_hit", "score").withColumn(
-        "sources", F.concat_ws(",", F.when(F.col("bm25").isNotNull(), "lexical"), F.when(F.col("cosine").isNotNull(), "vector"), F.when(F.col("tag_hit") == 1, "label"))
-    )
+    return top.select("qid", "doc", "rank", X.fixed(F.col("bm25"), 3).alias("bm25"), X.fixed(F.col("bm25_norm"), 6).alias("bm25_norm"), X.fixed(F.col("cosine"), 6).alias("cosine"), "tag_hit", "score", L.source_list().alias("sources"))
 
 
 RANKED = "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS rank FROM pool"
@@ -107,7 +109,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_stats, term_df, corpus_stats, bm25_topk, bm25_minmax, cosine_topk, cosine_fallback_gate, cosine_expression,
-        tag_scan, tag_route, hybrid_fusion, retrieval_funnel, gap_to_next, diagnostics,
+        tag_scan, tag_route, index_build, hybrid_fusion, retrieval_funnel, gap_to_next, diagnostics,
     )
 }
 SQL = {
@@ -124,7 +126,10 @@ SQL = {
   row_number() OVER (PARTITION BY qid ORDER BY {fixed_sql('cosine', 6)} DESC, doc) AS rank FROM cosines WHERE qid <> doc) WHERE rank <= 20 AND best >= 0.3""",
     "cosine_expression": f"SELECT a.vec_id AS doc, {fixed_sql(P.COSINE.format('a.embedding', 'b.embedding'), 6)} AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "tag_scan": with_(P.CTE_TAGGED) + f"SELECT doc, chunk_id, tag, {P.strip_sql('tag')} AS content FROM tagged",
-    "tag_route": with_(P.CTE_Q, P.CTE_QT, P.CTE_TAGGED, P.CTE_TAGHIT) + "SELECT qid, doc FROM taghit",
+    "tag_route": with_(P.A.SCAN, P.CTE_ASKED, P.CTE_QT, P.CTE_TAGGED, P.CTE_TAGSCAN, P.CTE_TAGHIT) + "SELECT qid, doc FROM taghit",
+    "index_build": with_(*P.EXPANDED)
+    + """SELECT p.doc, any_value(p.dl) AS tokens, count(o.term) AS written_terms, count(*) AS terms, CAST(sum(coalesce(o.tf, 0)) AS BIGINT) AS written, CAST(sum(p.tf) - sum(coalesce(o.tf, 0)) AS BIGINT) AS added
+  FROM post p LEFT JOIN post0 o ON o.doc = p.doc AND o.term = p.term GROUP BY p.doc""",
     "hybrid_fusion": with_(*P.HYBRID) + f"SELECT qid, doc, score, rank, tag_hit, vector_hit FROM ({RANKED}) WHERE rank <= {K}",
     "retrieval_funnel": with_(*P.HYBRID) + "SELECT qid, count(bm25) AS lexical, CAST(sum(vector_hit) AS BIGINT) AS vector, CAST(sum(tag_hit) AS BIGINT) AS tag, count(*) AS merged FROM pool GROUP BY qid",
     "gap_to_next": with_(*P.HYBRID)
@@ -132,5 +137,5 @@ SQL = {
   SELECT qid, max(CASE WHEN rank = {K} THEN score END) AS last_score, max(CASE WHEN rank = {K + 1} THEN score END) AS next_score FROM ({RANKED}) WHERE rank IN ({K}, {K + 1}) GROUP BY qid)""",
     "diagnostics": with_(*P.HYBRID)
     + f"""SELECT qid, doc, rank, {fixed_sql('bm25', 3)} AS bm25, {fixed_sql('bm25_norm', 6)} AS bm25_norm, {fixed_sql('cosine', 6)} AS cosine, tag_hit, score,
-  concat_ws(',', CASE WHEN bm25 IS NOT NULL THEN 'lexical' END, CASE WHEN cosine IS NOT NULL THEN 'vector' END, CASE WHEN tag_hit = 1 THEN 'label' END) AS sources FROM ({RANKED}) WHERE rank <= 20""",
+  concat_ws(',', CASE WHEN bm25 IS NOT NULL THEN 'lexical' END, CASE WHEN vector_hit = 1 THEN 'vector' END, CASE WHEN tag_hit = 1 THEN 'label' END) AS sources FROM ({RANKED}) WHERE rank <= 20""",
 }

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as parquet into the shared folder and read it back.
 
     Ends the lineage: a lost executor re-reads files instead of recomputing, and an input used by
-    several branches is computed once. Files are removed when the driver ends.
+    several branches is computed once. Files are removed when the driver ends, or the ``scope`` around.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkwell-{uuid.uuid4().hex}"
@@ -67,6 +68,22 @@ def buckets_for(spark: SparkSession, size: int, bucket_bytes: int = 64 << 20, mo
     return max(spark.sparkContext.defaultParallelism, min(most, size // bucket_bytes))
 
 
+_written: list[list] = []
+
+
+@contextmanager
+def scope():
+    """What is cut inside is removed when the block ends, not only with the session: for a server that answers many
+    calls. Results must be read or written inside."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for remove in _written.pop():
+            remove()
+            atexit.unregister(remove)
+
+
 def _forget_at_exit(spark: SparkSession, path: str, name: str | None = None) -> None:
     def remove() -> None:
         try:
@@ -79,6 +96,8 @@ def _forget_at_exit(spark: SparkSession, path: str, name: str | None = None) ->
             pass
 
     atexit.register(remove)
+    if _written:
+        _written[-1].append(remove)
 
 
 def spread(df: DataFrame) -> DataFrame:

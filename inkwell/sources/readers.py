@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 
 import numpy as np
@@ -31,7 +32,7 @@ def chapters(spark: SparkSession, folder: str) -> DataFrame:
     named = files.withColumn("file", F.regexp_extract(F.col("_metadata.file_name"), r"^(\d{3})", 1))
     rows = named.select("file", "source", "chapter", "title", F.posexplode("chunks").alias("place", "c"))
     sizes = named.select("file", F.size("chunks").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # one row per file
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # one row per file, at most a thousand names NNN
     checked = F.when(F.col("c.type").isin("prose", "verse") & F.col("c.role").isin("body", "lead"), F.col("c.type")).otherwise(F.raise_error(F.concat(F.lit("type or role outside its domain: "), F.col("c.chunk_id"))))
     return rows.join(before, "file").select(
         (F.col("before") + F.col("place")).cast("bigint").alias("doc"), "source", "chapter", "title", "c.chunk_id", "c.parent_id", "c.seq_in_parent",
@@ -132,6 +133,7 @@ def context_ranges(spark: SparkSession, file: str) -> DataFrame:
     return rows.select(F.col("groupId").alias("group_id"), "chapter", start.alias("seg_start"), F.col("segEnd").alias("seg_end"))
 
 
+# The first bytes of a vector file.
 MAGIC = b"SNGV"
 
 
@@ -160,6 +162,13 @@ def vector_file(spark: SparkSession, file: str, expected: int | None = None) ->
     return spark.read.format("binaryFile").load(file).select("content").mapInArrow(run, "doc bigint, embedding array<float>")
 
 
+def run_snapshot(spark: SparkSession, folder: str, run_id: str, schema: str) -> DataFrame:
+    """The results of one run; an id of another form, or none of that name, fails."""
+    if not re.fullmatch(RUN_ID, run_id):
+        raise ValueError(f"no run id: {run_id!r}")
+    return spark.read.schema(schema).json(f"{folder}/run_id={run_id}")
+
+
 RUN_ID = r"^[a-z0-9-]+-\d{4}-\d{2}-\d{2}-\d{4}(\d{2})?$"
 
 

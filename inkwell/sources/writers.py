@@ -7,17 +7,24 @@ import struct
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from inkwell.sources.readers import MAGIC
 
 NO_HIT = "[]"
 
 
+PART = 64  # segments of a chapter that one object holds
+
+
 def chapter_files(chunks: DataFrame, folder: str) -> None:
-    """One JSON object per chapter, in a folder per chapter; chunks in the order of parent and sequence."""
+    """JSON objects in a folder per chapter, each with the chunks of ``PART`` segments in the order of parent and
+    sequence: a chapter of any size is never one group. ``part`` numbers a chapter's objects."""
     body = F.struct("chunk_id", "parent_id", "seq_in_parent", F.col("chunk_type").alias("type"), "role", "text", "char_count", "group_id")
+    segment = F.regexp_extract(F.coalesce("parent_id", F.lit("")), r":p(\d+)$", 1)
+    numbered = chunks.withColumn("part", F.when(segment != "", F.floor(segment.cast("int") / PART)).otherwise(F.lit(-1)))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("parent_id", "seq_in_parent", body.alias("body")))), lambda x: x["body"])
-    docs = chunks.groupBy("source", "chapter", "title").agg(ordered.alias("chunks"))
+    docs = numbered.groupBy("source", "chapter", "title", "part").agg(ordered.alias("chunks"))
     docs.withColumn("chapter_no", F.format_string("%03d", "chapter")).write.mode("overwrite").partitionBy("chapter_no").json(folder)
 
 
@@ -26,11 +33,6 @@ def chunk_rows(chunks: DataFrame, folder: str) -> None:
     chunks.write.mode("overwrite").partitionBy("chapter").parquet(folder)
 
 
-def postings_table(postings: DataFrame, name: str, buckets: int = 64) -> None:
-    """Postings as a table bucketed by term: joins with query terms need no shuffle of the postings."""
-    postings.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term", "doc").saveAsTable(name)
-
-
 def json_table(rows: DataFrame, folder: str) -> None:
     rows.write.mode("overwrite").json(folder)
 
@@ -73,9 +75,51 @@ def result_json(ranked: DataFrame, queries: DataFrame, *fields: Column | str, mo
     return queries.select("qid").join(kept, "qid", "left").select("qid", F.coalesce(F.when(F.size("rows") > 0, payload), F.lit(no_hit)).alias("payload"))
 
 
-def within_budget(payloads: DataFrame, body: str, budget: int = 65_536) -> DataFrame:
-    """Rows of ``payloads(qid, rank, ..)`` whose bodies together stay within ``budget`` bytes, in rank order."""
-    from pyspark.sql.window import Window
-
-    used = F.sum(F.octet_length(body)).over(Window.partitionBy("qid").orderBy("rank"))
-    return payloads.withColumn("__used", used).where(F.col("__used") <= budget).drop("__used")
+def within_budget(candidates: DataFrame, rest: DataFrame | None = None, body: str = "body", budget: int = 65_536) -> DataFrame:
+    """(qid, candidates, next, intents, dropped): explanations within ``budget`` bytes per query, in steps.
+
+    ``candidates(qid, rank, body)``, ``rest(qid, next, intents)``; all bodies are JSON texts. Candidates leave from the end
+    until what is left fits beside the others; if those alone don't fit, ``next`` goes, then ``intents``. A query keeps
+    its row in any case, and ``dropped`` says what went (``candidates``, ``next``, ``intents``).
+    """
+    size = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
+    heads = candidates.select("qid").distinct() if rest is None else rest.select("qid", "next", "intents")
+    heads = heads if rest is not None else heads.withColumns({"next": F.lit(None).cast("string"), "intents": F.lit(None).cast("string")})
+    keep_next, keep_intents = size("next") + size("intents") <= budget, size("intents") <= budget
+    lost = F.array_compact(F.array(F.when(~keep_next & F.col("next").isNotNull(), "next"), F.when(~keep_intents & F.col("intents").isNotNull(), "intents")))
+    kept = heads.select("qid", F.when(keep_next, F.col("next")).alias("next"), F.when(keep_intents, F.col("intents")).alias("intents"), lost.alias("lost"))
+    used = F.sum(F.octet_length(body)).over(Window.partitionBy("qid").orderBy("rank"))  # the candidates of one query
+    placed = candidates.withColumn("used", used).join(kept, "qid").withColumn("fits", F.col("used") + size("next") + size("intents") <= budget)
+    rows = F.array_sort(F.collect_list(F.when(F.col("fits"), F.struct("rank", F.col(body).alias("body")))))
+    listed = placed.groupBy("qid").agg(F.concat(F.lit("["), F.array_join(F.transform(rows, lambda r: r["body"]), ","), F.lit("]")).alias("candidates"), F.bool_or(~F.col("fits")).alias("cut"))
+    dropped = F.array_join(F.concat(F.when(F.coalesce("cut", F.lit(False)), F.array(F.lit("candidates"))).otherwise(F.array().cast("array<string>")), "lost"), ",")
+    return kept.join(listed, "qid", "left").select("qid", F.coalesce("candidates", F.lit("[]")).alias("candidates"), "next", "intents", dropped.alias("dropped"))
+
+
+def anchor_summary(counters: DataFrame, misses: DataFrame, title: str, most: int = 20) -> str:
+    """A Markdown report of ``evaluate.anchor_counters`` and the first ``most`` missed items(qid, category, rank)."""
+    listed = misses.orderBy("category", "qid").limit(most).collect()
+    lines = [f"- {r.category} #{r.qid}: {r['rank'] or '-'}" for r in listed]
+    return summary_markdown(counters, title) + "\n## misses\n\n" + "\n".join(lines or ["none"]) + "\n"
+
+
+def group_summary(counters: DataFrame, changes: DataFrame, misses: DataFrame, title: str, most: int = 30) -> str:
+    """A Markdown report of ``evaluate.group_counters``, the changes against an earlier run, and the first misses."""
+    moved = changes.orderBy("change", "qid").limit(most).collect()
+    lines = [f"- {r.change}: #{r.qid} {r.from_status} ({r.from_rank}) to {r.to_status} ({r.to_rank})" for r in moved]
+    return anchor_summary(counters, misses, title, most) + "\n## against the run before\n\n" + "\n".join(lines or ["none"]) + "\n"
+
+
+def entity_file(rows: DataFrame, folder: str, norm_version: str, banned: list[str]) -> None:
+    """A merged alias table as one JSON object with its meta and policy; ``generatedAt`` is the digest of the rows.
+
+    The table is configuration that readers load whole; one task writes it.
+    """
+    from inkwell.operators.entities import content_digest
+
+    digest = content_digest(rows).first().digest
+    meta = F.struct(F.lit(1).alias("schemaVersion"), F.lit(norm_version).alias("normVersion"), F.lit(digest).alias("generatedAt"))
+    policy = F.struct(F.array(*map(F.lit, banned)).cast("array<string>").alias("bannedRewriteKeys"))
+    row = F.struct(F.col("entity_type").alias("type"), F.col("entity_id").alias("id"), "canonical", "aliases", F.col("keys").alias("rewriteKeys"), F.col("fragments").alias("fragmentOnly"))
+    listed = rows.agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    listed.select(meta.alias("meta"), "rows", policy.alias("policy")).coalesce(1).write.mode("overwrite").json(folder)

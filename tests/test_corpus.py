@@ -105,3 +105,14 @@ def test_ids(spark):
 @pytest.mark.parametrize(("line", "lead"), [("诗曰：", True), ("他说。诗曰：", False), ("一二三四五六七八九十一二三：", False)])
 def test_lead(spark, line, lead):
     assert spark.createDataFrame([(line,)], "t string").select(C.is_lead("t")).first()[0] is lead
+
+
+@pytest.mark.parametrize(
+    ("line", "announces"),
+    [
+        ("有诗云：", True), ("“昔日有诗云：", False), ("昔日“闲话”有诗云：", True), ("“他说‘有诗’”罢了：", False), ("”有诗云：", True), ("“甲‘乙”有诗：", False), ("“甲’有诗：", True), ("祭“丁”文：", False), ("祭”文：", False), ("无：", False),
+    ],
+)
+def test_only_words_outside_quotations_announce_verse(spark, line, announces):
+    df = spark.createDataFrame([(line,)], "t string")
+    assert df.select(C.announces_verse("t")).first()[0] == announces

@@ -112,11 +112,35 @@ def test_chapter_files_round_trip(spark, tmp_path):
     W.chapter_files(S.chapters(spark, str(tmp_path / "in")), str(tmp_path / "out"))
     (r,) = spark.read.json(str(tmp_path / "out")).collect()
     assert [c.text for c in r.chunks] == ["文1", "文2"]
-
-
-def test_budget(spark):
-    p = spark.createDataFrame([(1, i, "x" * 40) for i in range(1, 6)], "qid bigint, rank int, body string")
-    assert W.within_budget(p, "body", 100).count() == 2
+    far = [(i, "s", 1, "一", f"s:0001:p{i:04d}:c01", f"s:0001:p{i:04d}" if i < 400 else "odd", 1, "prose", "body", str(i), 1, None) for i in range(1, 401)]
+    names = "doc bigint, source string, chapter int, title string, chunk_id string, parent_id string, seq_in_parent int, chunk_type string, role string, text string, char_count int, group_id string"
+    W.chapter_files(spark.createDataFrame(far, names), str(tmp_path / "far"))
+    rows = sorted(spark.read.json(str(tmp_path / "far")).collect(), key=lambda r: r.part)
+    assert max(len(r.chunks) for r in rows) <= W.PART and [c.text for r in rows[1:] for c in r.chunks] == [str(i) for i in range(1, 400)] and rows[0].part == -1
+
+
+def test_budget_goes_down_in_steps(spark):
+    rows = spark.createDataFrame([(q, i, "x" * 40) for q in (1, 2, 3) for i in range(1, 6)], "qid bigint, rank int, body string")
+    rest = spark.createDataFrame([(1, "n" * 10, "i" * 5), (2, "n" * 97, "i" * 5), (3, None, "i" * 101), (4, None, None)], "qid bigint, next string, intents string")
+    got = {r.qid: (r.candidates.count("x" * 40), r.next, r.intents, r.dropped) for r in W.within_budget(rows, rest, budget=100).collect()}
+    assert got == {1: (2, "n" * 10, "i" * 5, "candidates"), 2: (2, None, "i" * 5, "candidates,next"), 3: (2, None, None, "candidates,intents"), 4: (0, None, None, "")}
+    assert W.within_budget(rows, budget=39).first().candidates == "[]"
+
+
+def test_reports_and_files(spark, tmp_path):
+    counters = spark.createDataFrame([("a", 2)], "category string, total bigint")
+    misses = spark.createDataFrame([(i, "a", 0) for i in range(30)], "qid bigint, category string, rank int")
+    changes = spark.createDataFrame([(1, "hit5", 1, "miss", 0, "improved")], "qid bigint, to_status string, to_rank int, from_status string, from_rank int, change string")
+    text = W.group_summary(counters, changes, misses, "Run")
+    assert text.count("\n- a #") == 30 and "improved: #1 miss (0) to hit5 (1)" in text and W.anchor_summary(counters, misses, "Run").count("\n- a #") == 20
+    rows = spark.createDataFrame([("P1", "person", "关羽", ["云长"], ["云长"], []), ("P2", "person", "张飞", ["翼德"], ["翼德"], [])], "entity_id string, entity_type string, canonical string, aliases array<string>, keys array<string>, fragments array<string>")
+    W.entity_file(rows, str(tmp_path / "e"), "v1", ["羽"])
+    back, degraded = S.entity_table(spark, str(tmp_path / "e"))
+    assert not degraded and {(r.entity_id, r.canonical, tuple(r.rewritekeys)) for r in back.collect()} == {("P1", "关羽", ("云长",)), ("P2", "张飞", ("翼德",))}
+    W.run_snapshot(spark.createDataFrame([(1,)], "a int"), "run-2024-01-01-1200", str(tmp_path / "runs"))
+    assert S.run_snapshot(spark, str(tmp_path / "runs"), "run-2024-01-01-1200", "a int").count() == 1
+    with pytest.raises(ValueError):
+        S.run_snapshot(spark, str(tmp_path / "runs"), "../x", "a int")
 
 
 def test_payloads(spark):

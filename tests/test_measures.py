@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from inkwell.operators import bank as B
 from inkwell.operators import evaluate as V
 from inkwell.operators import quality as Q
-from inkwell.operators.intents import BIRTH, intent_of, intent_pins, pinned_by_intent
+from inkwell.operators.intents import BIRTH, intent_of, intent_pins, people_of_tags
+from inkwell.operators.retrieval import pinned_order
 
 
 def test_nearest_rank_with_a_hot_group_and_ties(spark):
@@ -79,8 +80,64 @@ def test_anchors_of_all_documents(spark, tmp_path):
 
     rows = [(0, "“甲乙丙”"), (1, "“丁戊，己庚辛壬”"), (99, "没有"), (100, None), (101, "“甲乙丙”说“甲乙丙”"), (250, "")]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted(tuple(r) for r in QUERIES["anchors_of_all"](spark, str(tmp_path)).collect())
-    assert got == sorted([(0, "甲乙丙"), (1, "丁戊己庚辛壬"), (1, "己庚辛壬"), (101, "甲乙丙")])
+    chunk_rows(spark, tmp_path, ["一二三四五六七八九十甲乙丙丁"])
+    got = sorted(tuple(r) for r in QUERIES["anchor_extract"](spark, str(tmp_path)).collect())
+    assert got == sorted([(0, "甲乙丙"), (1, "丁戊己庚辛壬"), (1, "己庚辛壬"), (101, "甲乙丙"), (-7, "一二三四五六七八九十甲乙")])
+
+
+def chunk_rows(spark, tmp_path, texts):
+    rows = [(7 + i, "c", None, None, "sanguo-yanyi", 1, None, "prose", "body", t, None) for i, t in enumerate(texts)]
+    names = "row_id bigint, chunk_id string, parent_id string, seq_in_parent int, source string, chapter int, title string, chunk_type string, chunk_role string, text string, group_id string"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/sanguo_yanyi.parquet")
+
+
+ENTRIES = [(1, 1, 29, "某回", "众人说毒已入骨"), (1, 2, 75, "关云长刮骨疗毒，吕子明白衣渡江", "毒，已入骨！"), (1, 3, 75, None, None), (2, 1, 84, "陆逊营烧七百里，孔明巧布八阵图", "无关"), (2, 2, 84, "陆逊营烧七百里，孔明巧布八阵图", "有锚文字在此")]
+
+
+@pytest.mark.parametrize(
+    ("qid", "evidence", "rank", "tier"),
+    [
+        (1, "第75回：“毒已入骨”", 2, "text"),  # the chapter it refers to, though another holds the words before
+        (1, "“毒已入骨”", 1, "text"),
+        (1, "第75回目：“关云长刮骨疗毒”", 2, "title"),
+        (1, "“吕子明白衣渡江”", 2, "title"),  # no title anchor: a phrase may stand in a title
+        (1, "“毒已”“白衣”", 1, "text"),
+        (1, "第30回：“毒已入骨”", 0, None),
+        (2, "第84回目：“陆逊营烧七百里，孔明巧布八阵图”第84回：“有锚文字”", 2, "text"),  # a text goes before a title that ranks higher
+        (2, "第85回目：“陆逊营烧七百里”", 0, None),
+        (2, "", 0, None), (2, None, 0, None),
+    ],
+)
+def test_evidence_tiers(spark, qid, evidence, rank, tier):
+    items = V.evidence_items(spark.createDataFrame([(qid, evidence)], "qid bigint, evidence string"))
+    entries = spark.createDataFrame(ENTRIES, "qid bigint, rank int, chapter int, title string, text string")
+    (r,) = V.match_evidence(items, entries).collect()
+    assert (r["rank"], r.tier) == (rank, tier)
+
+
+def test_locatable_and_anchor_counters(spark):
+    chunks = spark.createDataFrame([(1, 75, "关云长刮骨疗毒", "毒，已入骨"), (2, 84, None, None)], "doc bigint, chapter int, title string, text string")
+    ev = [(1, "“毒已入骨”"), (2, "第75回目：“刮骨疗毒”"), (3, "第84回目：“刮骨疗毒”"), (4, "“云长刮骨”"), (5, "没有引文"), (6, None), (7, "“不在书中”")]
+    items = V.evidence_items(spark.createDataFrame(ev, "qid bigint, evidence string"))
+    # the third names a chapter with another title, but its words stand as a quoted phrase in a title
+    assert {r.qid for r in V.locatable(items, chunks).collect()} == {1, 2, 3, 4}
+    results = spark.createDataFrame([(1, "甲", 1, 1, False), (2, "甲", 7, 6, False), (3, "乙", 0, 2, False), (4, "乙", 12, 0, False), (5, "乙", 0, 0, True)], "qid bigint, category string, rank int, chapter_rank int, no_anchor boolean")
+    got = {r.category: tuple(r)[1:] for r in V.anchor_counters(results).collect()}
+    assert got == {None: (4, 1, 1, 1, 2, 3, 2, 1), "甲": (2, 1, 1, 1, 0, 2, 1, 0), "乙": (2, 0, 0, 0, 2, 1, 1, 1)}
+
+
+def test_group_counters(spark):
+    results = spark.createDataFrame([(1, "甲", 9, 1, 1, 1, True, False), (2, "甲", 1, 0, 0, 0, False, True), (3, "乙", 20, 0, 0, 0, False, False)], "qid bigint, category string, seg_count bigint, first_rank int, hits5 bigint, hits10 bigint, event_bridge boolean, allusion_bridge boolean")
+    got = {(r.category, r.bucket): (r.total, r.event_bridge, r.allusion_bridge, r.no_bridge, r.dropped, r.miss_no_bridge) for r in V.group_counters(results).collect()}
+    assert got[None, None] == (3, 1, 1, 1, 1, 1) and got["甲", None] == (2, 1, 1, 0, 1, 0) and got[None, "large"] == (1, 0, 0, 1, 0, 1)
+
+
+def test_rerank_failures(spark):
+    mk = lambda rows: spark.createDataFrame(rows, "qid bigint, doc bigint, rank int")
+    before, after = mk([(1, 10, 1), (1, 11, 2), (1, 12, 3), (2, 20, 1)]), mk([(1, 11, 1), (1, 10, 3), (1, 13, 2), (2, 20, 1)])
+    evidence = spark.createDataFrame([(1, 10), (1, 12), (2, 20)], "qid bigint, doc bigint")
+    got = {tuple(r) for r in V.rerank_failures(before, after, evidence).collect()}
+    assert got == {(1, "evidence_demoted", 10), (1, "wrong_top1", 11), (1, "evidence_dropped", 12), (1, "non_evidence_promoted", 13)}
 
 
 def test_first_anchor(spark):
@@ -166,14 +223,38 @@ def test_edit_neighbours_equal_brute_force(spark):
 def test_numeral_runs_are_whole(spark, tmp_path):
     from inkwell.plans.measures import QUERIES
 
-    texts = ["三人行，一百二十三里；一百〇五", "三、十", "一二三四五六七，一百二十三四五六", None, "〇"]
-    rows = [(i, "c", None, None, "s", 1, None, "prose", "body", t, None) for i, t in enumerate(texts)]
-    names = "row_id bigint, chunk_id string, parent_id string, seq_in_parent int, source string, chapter int, title string, chunk_type string, chunk_role string, text string, group_id string"
-    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/sanguo_yanyi.parquet")
-    got = {tuple(r) for r in QUERIES["numeral_runs"](spark, str(tmp_path)).collect()}
+    chunk_rows(spark, tmp_path, ["三人行，一百二十三里；一百〇五", "三、十", "一二三四五六七，一百二十三四五六", None, "〇"])
+    got = {tuple(r) for r in QUERIES["cn_numerals"](spark, str(tmp_path)).collect()}
     assert got == {("三", 2, 3), ("一百二十三", 1, 123), ("一百〇五", 1, 105), ("十", 1, 10), ("〇", 1, 0)}
 
 
+def test_people_of_tags(spark):
+    tags = [(1, "人物之死-关羽之死"), (2, "人物之生-刘备登场"), (3, "登场-张飞"), (4, "遗言-周瑜"), (5, "关羽临终遗言"), (6, "战役-关羽"), (7, "登场-"), (8, None)]
+    got = {tuple(r) for r in people_of_tags(spark.createDataFrame(tags, "doc bigint, tag string")).collect()}
+    assert got == {("death", "关羽", 1), ("birth", "刘备", 2), ("birth", "张飞", 3), ("speech", "周瑜", 4), ("speech", "关羽", 5)}
+
+
+def test_judging(spark):
+    options = {"A": "赤壁", "B": "官渡", "C": "夷陵", "D": "ＡＢＣ"}
+    rows = [("Ａ", "A", False), ("b", "B", True), (" 官渡！", "B", True), ("abc", "D", False), ("e", None, None), ("", None, None), (None, None, None)]
+    df = spark.createDataFrame([(i, m, options, " 官渡 ") for i, (m, _, _) in enumerate(rows)], "i int, message string, options map<string,string>, answer string")
+    assert {r.i: (r.chosen, r.correct) for r in B.judged(df).collect()} == {i: (k, c) for i, (_, k, c) in enumerate(rows)}
+
+
+def test_quiz_replies(spark):
+    from inkwell.operators.quiz import numbered, replies
+
+    t = datetime(2024, 1, 1)
+    bank = spark.createDataFrame([(5, "哪一战？", {"A": "赤壁", "B": "官渡", "C": "夷陵", "D": "街亭"}, "官渡")], "id bigint, question string, options map<string,string>, answer string")
+    said = [(1, "s", 0, "B"), (2, "s", 1, "随机一题"), (3, "s", 2, "答案"), (4, "s", 3, "Ｂ"), (5, "s", 4, "赤壁"), (6, "s", 5, None), (7, "s", 40, "B"), (8, "z", 3, "B"), (9, "s", 41, "来一题！"), (10, "s", 71, "官渡")]
+    log = spark.createDataFrame([(i, k, t + timedelta(minutes=m), x) for i, k, m, x in said], "event_id bigint, session_key string, ts timestamp_ntz, message string")
+    got = {r.event_id: (r.kind, r.reply) for r in replies(log, bank).collect()}
+    assert [got[i][0] for i in range(1, 11)] == ["no_session", "question", "answer", "correct", "wrong", "wrong", "no_session", "no_session", "question", "correct"]
+    assert got[3][1] == "正确答案：官渡（B）" and got[5][1] == "答错了，正确答案：官渡（B）" and got[2][1].startswith("题目：哪一战？\nA. 赤壁")
+    assert {r.kind for r in replies(log, bank.limit(0)).collect()} == {"empty_bank", "no_session"}
+    assert sorted(r.place for r in numbered(spark.range(500).select("id")).collect()) == list(range(500))
+
+
 PEOPLE = [("death", "关羽", 10), ("death", "关羽", 12), ("speech", "关羽", 11), ("death", "张飞", 20), ("birth", "刘备", 30)]
 
 
@@ -192,11 +273,12 @@ def test_intent_pins(spark, text, pins, direction):
     assert {r.doc for r in rows} == pins and {r.direction for r in rows} <= {direction}
 
 
-def test_pinned_by_intent(spark):
+def test_pins_in_the_direction_of_the_intent(spark):
     pool = spark.createDataFrame([(1, 5, 0.9), (1, 7, 0.1), (1, 3, 0.2), (2, 3, 0.1), (2, 7, 0.5), (2, 5, 0.9)], "qid bigint, doc bigint, score double")
     pins = spark.createDataFrame([(1, 7, -1), (1, 3, -1), (1, 99, -1), (2, 3, 0), (2, 7, 0)], "qid bigint, doc bigint, direction int")
-    got = [(r.qid, r.doc) for r in pinned_by_intent(pool, pins).orderBy("qid", "rank").collect()]
+    got = [(r.qid, r.doc) for r in pinned_order(pool, pins).orderBy("qid", "rank").collect()]
     assert got == [(1, 7), (1, 3), (1, 5), (2, 7), (2, 3), (2, 5)]
+    assert [(r.qid, r.doc) for r in pinned_order(pool, pins, keep=2).orderBy("qid", "rank").collect()] == [(1, 7), (1, 3), (2, 7), (2, 3)]
 
 
 def test_chapter_rank(spark):

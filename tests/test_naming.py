@@ -1,6 +1,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkwell.operators import entities as E
 from inkwell.operators import groups as G
@@ -90,10 +91,37 @@ def test_bridges_prefer_the_longest_key(spark):
     g = grp(spark, [("E1", "赤壁之战", ["赤壁"], [], "L1"), ("E2", "火攻", ["战前火攻"], [], "L2")])
     v = G.valid_groups(g, ("L1", "L2"))
     q = spark.createDataFrame([(1, "赤壁之战前火攻"), (2, "无")], "qid bigint, text string")
-    got = [(r.eventid, r.matched, r.priority) for r in G.bridges(q, G.bridge_keys(v, G.valid_aliases(v))).orderBy("priority").collect()]
+    keys = G.bridge_keys(v, G.valid_aliases(v)).withColumn("kind", F.lit("event"))
+    got = [(r.eventid, r.matched, r.driver) for r in G.bridges(q, keys).orderBy("driver").collect()]
     assert got == [("E1", "赤壁之战", 1), ("E2", "战前火攻", 2)]
 
 
+def test_events_drive_before_allusions_and_l3_never(spark):
+    """The driving group is the first event of L1 or L2, however long the names of allusions and L3 events are."""
+    rows = [("event", "E9", "短名", "L2", "短名"), ("event", "E3", "很长很长的名字", "L3", "很长很长的名字"), ("allusion", "A1", "较长的典故", "典故", "较长的典故"), ("event", "E1", "他名", "L1", "他名"), ("allusion", "E9", "同号", "典故", "同号")]
+    keys = spark.createDataFrame(rows, "kind string, eventid string, eventname string, group_type string, key string")
+    q = spark.createDataFrame([(1, "很长很长的名字、较长的典故、短名"), (2, "很长很长的名字与较长的典故"), (3, "只有很长很长的名字"), (4, "短名他名同号")], "qid bigint, text string")
+    m = G.bridges(q, keys)
+    got = {(r.qid, r.kind, r.eventid): (r.driver, r.poolable) for r in m.collect()}
+    assert got == {
+        (1, "event", "E9"): (1, True), (1, "allusion", "A1"): (2, True), (1, "event", "E3"): (None, False), (2, "allusion", "A1"): (1, True), (2, "event", "E3"): (None, False), (3, "event", "E3"): (None, False),
+        (4, "event", "E1"): (1, True), (4, "event", "E9"): (2, True), (4, "allusion", "E9"): (3, True),
+    }
+    assert {r.qid: r.text for r in G.enhanced_queries(q, m).collect()} == {1: "很长很长的名字、较长的典故、短名短名短名", 2: "很长很长的名字与较长的典故较长的典故较长的典故", 4: "短名他名同号他名他名"}
+
+
+def test_drift_is_acted_on(spark):
+    ids = [f"c{i}" for i in range(21)]
+    g = lambda *rows: G.valid_groups(grp(spark, list(rows)), ("L1",))
+    left = lambda v, there: {r.eventid: r.chunkids for r in G.without_drift(v, cks(spark, there)).collect()}
+    # one of two gone: the whole table is left out
+    assert left(g(("E1", "名", [], ["c0"], "L1"), ("E2", "名二", [], ["gone"], "L1")), ["c0"]) == {}
+    # one of 21 gone: the reference goes, and the group that had nothing else
+    assert left(g(("E1", "名", [], ids[:20], "L1"), ("E2", "名二", [], ["gone"], "L1"), ("E3", "空", [], [], "L1"), ("E4", "无", [], None, "L1")), ids) == {"E1": ids[:20]}
+    # members keep their order and repeats
+    assert left(g(("E1", "名", [], ["c2", "c1", "c2", None], "L1")), ids) == {"E1": ["c2", "c1", "c2"]}
+
+
 def test_merge(spark):
     rows = [
         ("P2", "person", "关羽", ["云长", "关公"], ["云长"], None),

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL counterpart on the smallest tables."""
+"""Every registered query against its SQL counterpart; a comparison of nothing with nothing fails."""
 
 import glob
 import math
@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 
-DIR = "/root/testdata/sf0.001"
+DIR = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 
 
@@ -41,8 +41,8 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(got.columns) == sorted(names)
     order = sorted(names)
     want = sorted(tuple(plain(v) for _, v in sorted(zip(names, r, strict=True))) for r in result.fetchall())
-    assert sorted(tuple(plain(r[c]) for c in order) for r in got.collect()) == want
+    assert want and sorted(tuple(plain(r[c]) for c in order) for r in got.collect()) == want
 
 
-def test_entry(spark):
-    assert entry_points.entry(spark).columns
+def test_entry_returns_rows(spark):
+    assert entry_points.entry(spark).count() > 0
