@@ -95,9 +95,9 @@ def judged(answers: DataFrame) -> DataFrame:
     that is neither chooses nothing (null). ``options`` maps the letters A to D to texts, ``answer`` is a text.
     """
     letters = ("A", "B", "C", "D")
-    formed = answers.withColumns({"__m": X.bank_form("message"), "__a": X.bank_form("answer"), **{f"__{k}": X.bank_form(F.col("options")[k]) for k in letters}})
+    formed = answers.withColumns({"__message": X.bank_form("message"), "__right": X.bank_form("answer"), **{f"__{k}": X.bank_form(F.col("options")[k]) for k in letters}})
     of = lambda c: F.coalesce(*[F.when(F.col(f"__{k}") == F.col(c), k) for k in letters])
-    letter = F.coalesce(*[F.when(F.col("__m") == k.lower(), k) for k in letters])
-    chosen = F.coalesce(letter, of("__m"))
-    out = formed.withColumn("chosen", chosen).withColumn("right_one", of("__a")).withColumn("correct", F.col("chosen") == F.col("right_one"))
-    return out.drop("__m", "__a", *(f"__{k}" for k in letters))
+    letter = F.coalesce(*[F.when(F.col("__message") == k.lower(), k) for k in letters])
+    chosen = F.coalesce(letter, of("__message"))
+    out = formed.withColumn("chosen", chosen).withColumn("right_one", of("__right")).withColumn("correct", F.col("chosen") == F.col("right_one"))
+    return out.drop("__message", "__right", *(f"__{k}" for k in letters))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,64 +10,63 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
 from inkwell.operators.retrieval import K1, B, postings, query_terms
-from inkwell.runtime import BROADCAST_BYTES, cut
+from inkwell.runtime import BROADCAST_BYTES, buckets_for, cut, cut_by, read_by, write_by
 
-BUCKETS = 64  # folders of the postings, by a hash of the term: a search reads those of its own terms
 _TERM_BYTES = 96
+_GROWTH = 8  # bytes of postings for a byte of text, about
+POSTINGS = "doc bigint, len int, term string, tf bigint, added bigint"
 
 
 @dataclass
 class Index:
-    """``postings(term, doc, len, tf, added, bucket)`` of body chunks, ``terms(term, df, df_all)``, and over all
-    chunks their number and mean length.
+    """``postings(doc, len, term, tf, added)`` of body chunks, ``terms(term, df, df_all)``, and over all chunks their
+    number and mean length.
 
     ``tf`` counts what is written; ``added`` what expansions of aliases add to it, never to ``len``. ``df`` and
-    ``df_all`` count documents without and with what was added.
+    ``df_all`` count documents without and with what was added. Postings are bucketed by document and sorted by term:
+    a document's scores are summed where it lies, without a shuffle, and no common term makes a bucket larger.
     """
 
     postings: DataFrame
     terms: DataFrame
     n: int
     avg_len: float
+    buckets: int
 
     def save(self, folder: str) -> None:
-        self.postings.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+        spark = self.postings.sparkSession
+        name = f"inkwell_{uuid.uuid4().hex}"
+        write_by(self.postings, "doc", self.buckets, "term", f"{folder}/postings", name)
+        spark.sql(f"DROP TABLE {name}")  # the files stay
         self.terms.write.mode("overwrite").parquet(f"{folder}/terms")
-        self.postings.sparkSession.createDataFrame([(self.n, self.avg_len)], "n bigint, avg_len double").write.mode("overwrite").parquet(f"{folder}/stats")
+        spark.createDataFrame([(self.n, self.avg_len, self.buckets)], "n bigint, avg_len double, buckets int").write.mode("overwrite").parquet(f"{folder}/stats")
 
 
 def load(spark: SparkSession, folder: str) -> Index:
-    n, avg_len = spark.read.parquet(f"{folder}/stats").first()
-    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/terms"), n, avg_len)
-
-
-def term_bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    n, avg_len, buckets = spark.read.parquet(f"{folder}/stats").first()
+    return Index(read_by(spark, POSTINGS, "doc", buckets, "term", f"{folder}/postings"), spark.read.parquet(f"{folder}/terms"), n, avg_len, buckets)
 
 
 def build(chunks: DataFrame, extra: DataFrame | None = None) -> Index:
-    """The index of ``chunks(doc, role, text)`` with the terms that ``extra(doc, term, tf)`` adds.
-
-    The corpus is tokenised once. Postings lie in folders by term hash and sorted by term inside; the rebalancing
-    shuffle splits a folder that hot terms make large into several files.
-    """
+    """The index of ``chunks(doc, role, text)`` with the terms that ``extra(doc, term, tf)`` adds; the corpus is
+    tokenised once."""
     rows = postings(chunks).withColumn("added", F.lit(0).cast("bigint"))
     if extra is not None:
         lengths = chunks.where("role = 'body'").select("doc", X.token_count("text").alias("len"))
         more = extra.join(lengths, "doc").select("doc", "len", "term", F.lit(0).cast("bigint").alias("tf"), F.col("tf").alias("added"))
         rows = rows.unionByName(more).groupBy("doc", "len", "term").agg(F.sum("tf").alias("tf"), F.sum("added").alias("added"))
-    laid = rows.withColumn("bucket", term_bucket(F.col("term"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc")
-    stored = cut(laid, ["bucket"])
+    n, avg_len, size = chunks.agg(F.count(F.lit(1)), F.coalesce(F.avg(X.token_count("text")), F.lit(0.0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    buckets = buckets_for(chunks.sparkSession, _GROWTH * size)
+    stored = cut_by(rows.select(F.col("doc").cast("bigint").alias("doc"), F.col("len").cast("int").alias("len"), "term", "tf", "added"), "doc", buckets, "term")
     terms = cut(stored.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.count(F.lit(1)).alias("df_all")))
-    n, avg_len = chunks.agg(F.count(F.lit(1)), F.coalesce(F.avg(X.token_count("text")), F.lit(0.0))).first()
-    return Index(stored, terms, n, avg_len)
+    return Index(stored, terms, n, avg_len, buckets)
 
 
 def scores(index: Index, queries: DataFrame, distinct: bool = False, with_added: bool = False) -> DataFrame:
     """(qid, doc, bm25) of all lexical hits of ``queries(qid, text)``.
 
     The weighted terms of the queries are broadcast; where they are more than a broadcast may hold, the queries
-    go in blocks, each of which reads the postings of its own terms once.
+    go in blocks, each of which reads the postings once.
     """
     asked = queries.agg(F.sum(X.token_count("text"))).first()[0] or 0  # at least as many as there are pairs of query and term
     blocks = max(1, -(-asked * _TERM_BYTES // BROADCAST_BYTES))
@@ -81,7 +81,7 @@ def _block_scores(index: Index, queries: DataFrame, distinct: bool, with_added:
     df, tf = (F.col("df_all"), F.col("tf") + F.col("added")) if with_added else (F.col("df"), F.col("tf"))
     n, avg = F.lit(index.n), F.lit(index.avg_len)
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-    weighted = query_terms(queries, distinct).join(index.terms, "term").where(df > 0).select("qid", "term", (F.col("times") * idf).alias("weight"), term_bucket(F.col("term")).alias("bucket"))
+    weighted = query_terms(queries, distinct).join(index.terms, "term").where(df > 0).select("qid", "term", (F.col("times") * idf).alias("weight"))
     weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / avg))
-    hits = index.postings.where(tf > 0).join(F.broadcast(weighted), ["bucket", "term"])  # bounded by the block
+    hits = index.postings.where(tf > 0).join(F.broadcast(weighted), "term")  # bounded by the block
     return hits.groupBy("qid", "doc").agg(F.sum(F.col("weight") * weight).alias("bm25"))

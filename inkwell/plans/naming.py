@@ -117,6 +117,7 @@ def bridge_match(spark: SparkSession, d: str) -> DataFrame:
 
 def _stages(spark: SparkSession, d: str) -> tuple[L.Corpus, L.Recall, DataFrame]:
     corpus, found = P.corpus(spark, d), search.recall(spark, d)
+    found.pool = cut(found.pool)  # read twice where members join it
     return corpus, found, cut(G.bridges(found.queries, corpus.keys))
 
 
@@ -139,8 +140,8 @@ def person_dictionary(spark: SparkSession, d: str) -> DataFrame:
 
 def pins(spark: SparkSession, d: str) -> DataFrame:
     """(qid, doc, direction): what intents pin, and anchors of L3 groups."""
-    corpus, found, matched = _stages(spark, d)
-    return L.pins(corpus, found.queries, matched)
+    corpus, qs = P.corpus(spark, d), cut(P.asked(spark, d))
+    return L.pins(corpus, qs, cut(G.bridges(qs, corpus.keys)))
 
 
 def pinned_order(spark: SparkSession, d: str) -> DataFrame:

@@ -52,18 +52,29 @@ def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut_by(df: DataFrame, column: str, buckets: int) -> DataFrame:
-    """``cut`` into ``buckets`` buckets of ``column``, sorted by it: later groupings and joins on it read the table
-    as it lies, without a shuffle of it."""
+def cut_by(df: DataFrame, column: str, buckets: int, sort: str | None = None) -> DataFrame:
+    """``cut`` into ``buckets`` buckets of ``column``, sorted by it or by ``sort``: later groupings and joins on it read
+    the table as it lies, without a shuffle of it."""
     spark = df.sparkSession
     name = f"inkwell_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("path", path).format("parquet").saveAsTable(name)
+    write_by(df, column, buckets, sort or column, path, name)
     _forget_at_exit(spark, path, name)
     return spark.table(name)
 
 
-def buckets_for(spark: SparkSession, size: int, bucket_bytes: int = 64 << 20, most: int = 100_000) -> int:
+def write_by(df: DataFrame, column: str, buckets: int, sort: str, path: str, name: str) -> None:
+    df.repartition(buckets, column).write.mode("overwrite").bucketBy(buckets, column).sortBy(sort).option("path", path).format("parquet").saveAsTable(name)
+
+
+def read_by(spark: SparkSession, schema: str, column: str, buckets: int, sort: str, path: str) -> DataFrame:
+    """The bucketed table that ``write_by`` left in ``path``, as a table of this session."""
+    name = f"inkwell_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({column}) SORTED BY ({sort}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def buckets_for(spark: SparkSession, size: int, bucket_bytes: int = 16 << 20, most: int = 100_000) -> int:
     """Buckets for a table of about ``size`` bytes: one for every ``bucket_bytes``, and one a core at least."""
     return max(spark.sparkContext.defaultParallelism, min(most, size // bucket_bytes))
 

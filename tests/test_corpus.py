@@ -91,7 +91,7 @@ def test_every_chunk_has_its_context_group(spark, tmp_path):
     rows = [(i, c, None, None, "s", ch, None, "prose", "body", "x", None) for i, (ch, c) in enumerate(ids)]
     names = "row_id bigint, chunk_id string, parent_id string, seq_in_parent int, source string, chapter int, title string, chunk_type string, chunk_role string, text string, group_id string"
     spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/sanguo_yanyi.parquet")
-    got = sorted((r.doc, r.group_id) for r in QUERIES["context_groups"](spark, str(tmp_path)).collect())
+    got = sorted((r.doc, r.group_id) for r in QUERIES["interval_group_join"](spark, str(tmp_path)).collect())
     want = [(i, f"g0001-{i // 10 * 10 + 1:03d}") for i in range(1200)] + [(1200, "g0002-011"), (1201, "g0002-011")] + [(i, None) for i in range(1202, 1206)]
     assert got == want
 

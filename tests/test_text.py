@@ -46,7 +46,7 @@ def test_chinese_numerals(spark, text, value):
 
 
 def test_lexical_similarity(spark):
-    got = one(spark, X.lexical_similarity("a", "b"), ("谁的马", "谁马"), ("abc", "abd"), ("", "x"), ("的", "了"), schema="a string, b string")
+    got = one(spark, X.lexical_similarity(X.route_signature(X.bank_form("a")), X.route_signature(X.bank_form("b"))), ("谁的马", "谁马"), ("abc", "abd"), ("", "x"), ("的", "了"), schema="a string, b string")
     assert got == [1.0, pytest.approx(2 / 3), 0.0, 0.0]
 
 
