@@ -23,8 +23,14 @@ def _block(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
 
-def _bits(key: Column, hashes: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(i + 1)), F.lit(BLOCK_BITS)) for i in range(hashes)]
+def _hash(key: Column) -> Column:
+    return F.xxhash64(key, F.lit(0))
+
+
+def _bits(h: Column, hashes: int) -> list[Column]:
+    """The bits of a key by double hashing of its one hash: keys of equal hash have equal bits, so folding them loses none."""
+    first, step = F.pmod(h, F.lit(BLOCK_BITS)), F.pmod(F.shiftright(h, 20), F.lit(BLOCK_BITS)).bitwiseOR(F.lit(1))
+    return [F.pmod(first + i * step, F.lit(BLOCK_BITS)) for i in range(hashes)]
 
 
 class BlockedBloom:
@@ -36,15 +42,13 @@ class BlockedBloom:
         self.blocks = min(wanted, max_bits // BLOCK_BITS)
         hashed = (
             parents.where(F.col(key).isNotNull())
-            .select(_block(F.col(key), self.blocks).alias("block"), F.xxhash64(F.col(key), F.lit(0)).alias("h"), F.col(key).alias("k"))
-            .select("block", "h", F.array(*_bits(F.col("k"), hashes)).alias("bits"))
+            .select(_block(F.col(key), self.blocks).alias("block"), _hash(F.col(key)).alias("h"))
             # equal keys leave a task once; the bitmaps are built after the shuffle, so no task sends
             # a bitmap of every block
-            .groupBy("block", "h")
-            .agg(F.first("bits").alias("bits"))
+            .distinct()
         )
         self.frame = (
-            hashed.repartition("block").select("block", F.explode("bits").alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+            hashed.repartition("block").select("block", F.explode(F.array(*_bits(F.col("h"), hashes))).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
         )
 
     def mark(self, refs: DataFrame, key: str, out: str = "may_exist") -> DataFrame:
@@ -55,7 +59,7 @@ class BlockedBloom:
             byte = F.conv(F.hex(F.substring(F.col("bitmap"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
             return F.getbit(byte, (bit % 8).cast("int")) == 1
 
-        inside = reduce(lambda a, b: a & b, [set_at(b) for b in _bits(F.col(key), self.hashes)])
+        inside = reduce(lambda a, b: a & b, [set_at(b) for b in _bits(_hash(F.col(key)), self.hashes)])
         return (
             refs.withColumn("__block", _block(F.col(key), self.blocks))
             .join(known, "__block", "left")

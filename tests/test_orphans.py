@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkwell.operators.orphans import BlockedBloom, orphan_references, orphan_report
 
@@ -94,3 +95,10 @@ def test_report(spark):
 def test_filter_size_is_bounded(spark, bits):
     keys = spark.createDataFrame([(f"k{i}",) for i in range(5000)], "k string")
     assert BlockedBloom(keys, "k", bits_per_key=bits, max_bits=65_536).blocks <= 2
+
+
+def test_keys_of_equal_hash_have_equal_bits(spark):
+    from inkwell.operators.orphans import _bits, _hash
+
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("k")).select("k", F.array(*_bits(_hash(F.col("k")), 5)).alias("b")).collect()
+    assert all(0 <= x < 32_768 for r in rows for x in r.b) and sum(len(set(r.b)) == 5 for r in rows) > 1990 and len({tuple(r.b) for r in rows}) > 1990
