@@ -28,9 +28,17 @@ from inkwell.llm.batches import map_batches
 INVISIBLE = "­͏؜᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
 # Line ends other than the line feed.
 LINE_ENDS = "\r\u0085  "
+# Code points that choose a glyph variant of the letter before them.
+INVISIBLE += "".join(map(chr, range(0xFE00, 0xFE10)))
 # Letters of the same shape, other script -> Latin.
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo", strict=True))
-CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХаеорсухѕіј", "ABESIJKMHOPCTXaeopcyxsij", strict=True))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρ", "ABEZHIKMNOPTYXovp", strict=True))
+CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХаеорсухѕіјѵһӏҮүԁԛԝԚԜ", "ABESIJKMHOPCTXaeopcyxsijvhlYydqwQW", strict=True))
+ARMENIAN = dict(zip("ՏՍՕհոսօցզ", "SUOhnuogq", strict=True))
+CHEROKEE = dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏒᏔᏕᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHGZRWSVSLCPKB", strict=True))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU", strict=True))
+LATIN = {"ɡ": "g"}
+# Hangul fillers: two without width, two as wide as a letter.
+FILLERS = {"\u115f": "", "\u1160": "", "\u3164": " ", "\uffa0": " "}
 # Kana of the same shape as an ideograph, and the two scripts' he.
 KANA = dict(zip("エカニハロタト", "工力二八口夕卜", strict=True)) | {"ヘ": "へ", "ベ": "べ", "ペ": "ぺ"}
 # Hyphens of one look.
@@ -56,7 +64,7 @@ def build_mapping() -> dict[str, str]:
         if found.setdefault(source, target) != target:
             raise Conflict(f"{source!r}: {found[source]!r} or {target!r}")
 
-    special = GREEK | CYRILLIC | KANA | HYPHENS | {c: "" for c in INVISIBLE} | {c: "\n" for c in LINE_ENDS} | {"\t": " ", "\x0b": " ", "\x0c": " "}
+    special = GREEK | CYRILLIC | ARMENIAN | CHEROKEE | LISU | LATIN | FILLERS | KANA | HYPHENS | {c: "" for c in INVISIBLE} | {c: "\n" for c in LINE_ENDS} | {"\t": " ", "\x0b": " ", "\x0c": " "}
     special |= {chr(0x2E80 + i): c for i, c in enumerate(RADICALS) if c != "." and c != chr(0x2E80 + i)}
     for c, to in special.items():
         add(c, to)
@@ -232,3 +240,15 @@ def lookalike_pairs(keys: DataFrame) -> DataFrame:
     a = rows.select("table_name", "look", F.col("id").alias("id_a"), F.col("raw").alias("raw_a"))
     b = rows.select("table_name", "look", F.col("id").alias("id_b"), F.col("raw").alias("raw_b"))
     return a.join(b, ["table_name", "look"]).where("raw_a <> raw_b and id_a < id_b").select("table_name", "id_a", "id_b")
+
+
+def lookalike_classes(keys: DataFrame) -> DataFrame:
+    """(table_name, id, class_id, links) of every row whose look has several spellings, without making pairs.
+
+    ``keys`` as for ``lookalike_pairs``. ``class_id`` is the smallest id of the look; ``links`` the number of rows of the look
+    that are spelled otherwise. Sizes are counted in aggregates, so a look that a third of the rows have splits freely.
+    """
+    spelled = keys.groupBy("table_name", "look", "raw").agg(F.count(F.lit(1)).alias("same"), F.min("id").alias("first"))
+    looks = spelled.groupBy("table_name", "look").agg(F.sum("same").alias("rows"), F.count(F.lit(1)).alias("spellings"), F.min("first").alias("class_id")).where("spellings > 1")
+    known = spelled.join(looks, ["table_name", "look"]).select("table_name", "raw", "class_id", (F.col("rows") - F.col("same")).alias("links"))
+    return keys.select("table_name", "id", "raw").join(known, ["table_name", "raw"]).select("table_name", "id", "class_id", "links")

@@ -21,6 +21,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.lookalike_pairs(_spellings(spark, sf_dir))
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of a look with several spellings with its class and number of links."""
+    return lookalike.lookalike_classes(_spellings(spark, sf_dir))
+
+
 def p2_canonical_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.canonical_texts(table(spark, sf_dir, "sanguo_yanyi"), "row_id", "text")
 
@@ -119,6 +124,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found,
+    "p2_classes": p2_classes,
     "p2_canonical_chunks": p2_canonical_chunks,
     "p2_canonical_questions": p2_canonical_questions,
     "p3_found": p3_found,

@@ -99,3 +99,24 @@ def test_empty_table_and_long_text(spark):
 def test_canonical_texts(spark):
     df = spark.createDataFrame([(1, "Ａ", "c"), (2, None, "c"), (3, "", "c"), (1, "Ａ", "c")], "row_id bigint, text string, canonical string")
     assert sorted((r.row_id, r.canonical, r.changed) for r in L.canonical_texts(df, "row_id", "text").collect() if r.canonical is not None) == [(1, "A", True), (1, "A", True), (3, "", False)]
+
+
+@pytest.mark.parametrize("pair", ["ѵv", "νv", "ԛq", "ɡg", "ᎪA", "һh", "ӏl", "օo", "ҮY", "ꓐB", "ՏS", "ոn", "ρp", "ԝw"])
+def test_letters_that_render_alike_fold(pair):
+    assert L.canonical(pair[0]) == L.canonical(pair[1]) == pair[1] and L.canonical(f"x{pair[0]}\u0301") == L.canonical(f"x{pair[1]}\u0301")
+
+
+def test_selectors_and_fillers():
+    assert L.canonical("龍\ufe0f中\u115f文\u1160") == "龍中文" and L.canonical("a\u3164b\uffa0c") == "a b c"
+
+
+def test_classes_follow_from_the_pairs(spark):
+    rows = [("t", i, f"look{i % 4}".encode(), f"raw{i % 4}{i % 3 if i % 4 else 0}".encode()) for i in range(60)] + [("u", 1, b"look1", b"raw10")]
+    keys = spark.createDataFrame(rows, "table_name string, id bigint, look binary, raw binary")
+    pairs = [tuple(r) for r in L.lookalike_pairs(keys).collect()]
+    links = {}
+    for t, a, b in pairs:
+        for x in (a, b):
+            links[t, x] = links.get((t, x), 0) + 1
+    got = {(r.table_name, r.id): (r.class_id, r.links) for r in L.lookalike_classes(keys).collect()}
+    assert {k: n for k, (_, n) in got.items()} == links and all(c == k[1] % 4 for k, (c, _) in got.items())
