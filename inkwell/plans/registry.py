@@ -12,7 +12,7 @@ from inkwell.plans import checks, dangling, measures, naming, search
 _MODULES = (dangling, search, naming, measures, checks)
 #: counts and positions come out as bigint, as in the SQL counterparts
 _LONG = {
-    "rank", "final_rank", "place", "priority", "refs", "tokens", "aliases", "keys", "fragments", "first_rank", "to_rank", "from_rank", "line_no", "chars", "clauses", "longest", "driver", "direction", "top", "written_terms", "terms",
+    "rank", "final_rank", "place", "priority", "refs", "tokens", "aliases", "keys", "fragments", "first_rank", "to_rank", "from_rank", "line_no", "chars", "clauses", "longest", "driver",
 }
 
 

@@ -28,6 +28,18 @@ def chapter_files(chunks: DataFrame, folder: str) -> None:
     docs.withColumn("chapter_no", F.format_string("%03d", "chapter")).write.mode("overwrite").partitionBy("chapter_no").json(folder)
 
 
+def segment_dump(chunks: DataFrame, folder: str) -> None:
+    """The text of every segment, a line each in a folder per chapter, and ``INDEX``: segments with their sizes.
+
+    ``chunks(parent_id, seq_in_parent, doc, chapter, text)``; a segment's pieces are joined in order, line ends become blanks.
+    """
+    pieces = F.array_sort(F.collect_list(F.struct("seq_in_parent", "doc", "text")))  # one paragraph
+    text = F.regexp_replace(F.array_join(F.transform(pieces, lambda p: p["text"]), ""), "[\r\n]+", " ")
+    rows = chunks.where("parent_id is not null and text is not null").groupBy("chapter", "parent_id").agg(text.alias("t"))
+    rows.select("chapter", F.concat("parent_id", F.lit("\t"), "t").alias("value")).sortWithinPartitions("chapter", "value").write.mode("overwrite").partitionBy("chapter").text(f"{folder}/segments")
+    rows.select("parent_id", "chapter", F.length("t").alias("chars")).write.mode("overwrite").json(f"{folder}/INDEX")
+
+
 def chunk_rows(chunks: DataFrame, folder: str) -> None:
     """Chunks as parquet partitioned by chapter, so that a chapter's lookup reads its own files only."""
     chunks.write.mode("overwrite").partitionBy("chapter").parquet(folder)

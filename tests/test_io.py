@@ -119,6 +119,13 @@ def test_chapter_files_round_trip(spark, tmp_path):
     assert max(len(r.chunks) for r in rows) <= W.PART and [c.text for r in rows[1:] for c in r.chunks] == [str(i) for i in range(1, 400)] and rows[0].part == -1
 
 
+def test_segment_dump(spark, tmp_path):
+    rows = [(1, "s:0001:p0001", 2, 1, "二\n"), (2, "s:0001:p0001", 1, 1, "一"), (3, None, 1, 1, "x"), (4, "s:0002:p0001", 1, 2, None), (5, "s:0002:p0002", 1, 2, "三")]
+    W.segment_dump(spark.createDataFrame(rows, "doc bigint, parent_id string, seq_in_parent int, chapter int, text string"), str(tmp_path / "d"))
+    assert {(r.chapter, r.value) for r in spark.read.text(str(tmp_path / "d/segments")).collect()} == {(1, "s:0001:p0001\t一二 "), (2, "s:0002:p0002\t三")}
+    assert {(r.parent_id, r.chars) for r in spark.read.json(str(tmp_path / "d/INDEX")).collect()} == {("s:0001:p0001", 3), ("s:0002:p0002", 1)}
+
+
 def test_budget_goes_down_in_steps(spark):
     rows = spark.createDataFrame([(q, i, "x" * 40) for q in (1, 2, 3) for i in range(1, 6)], "qid bigint, rank int, body string")
     rest = spark.createDataFrame([(1, "n" * 10, "i" * 5), (2, "n" * 97, "i" * 5), (3, None, "i" * 101), (4, None, None)], "qid bigint, next string, intents string")
