@@ -54,18 +54,30 @@ def with_answers(rows: DataFrame, answers: DataFrame, schema: str, convert: Call
     Answers of blocks without rows are left out; a block without answers gets an empty table.
     """
     ship(rows.sparkSession)
+    run, spark_schema = _to_table(schema, convert)
+    # both frames may come from one table: the other name makes another column of it
+    other = answers.withColumnRenamed("block", "__block")
+    return rows.groupBy("block").cogroup(other.groupBy("__block")).applyInArrow(lambda left, right: run(left, right), spark_schema)
+
+
+def in_each_block(rows: DataFrame, schema: str, convert: Callable[[pa.Table], dict | None]) -> DataFrame:
+    """``convert(rows of a block)`` for every block of ``rows``."""
+    ship(rows.sparkSession)
+    run, spark_schema = _to_table(schema, convert)
+    return rows.groupBy("block").applyInArrow(lambda table: run(table), spark_schema)
+
+
+def _to_table(schema: str, convert: Callable) -> tuple[Callable, T.StructType]:
     spark_schema = T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(spark_schema)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        columns = convert(left, right) if left.num_rows else None
+    def run(left: pa.Table, *right: pa.Table) -> pa.Table:
+        columns = convert(left, *right) if left.num_rows else None
         if columns is None:
             return arrow.empty_table()
         return pa.table([c if isinstance(c := columns[f.name], (pa.Array, pa.ChunkedArray)) and c.type == f.type else (c.cast(f.type) if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type)) for f in arrow], schema=arrow)
 
-    # both frames may come from one table: the other name makes another column of it
-    other = answers.withColumnRenamed("block", "__block")
-    return rows.groupBy("block").cogroup(other.groupBy("__block")).applyInArrow(run, spark_schema)
+    return run, spark_schema
 
 
 def asked(vocabulary: DataFrame, model: DataFrame) -> DataFrame:

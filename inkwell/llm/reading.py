@@ -19,11 +19,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.batches import map_batches
-from inkwell.llm.blocks import BLOCK, with_answers
+from inkwell.llm.blocks import BLOCK, in_each_block, with_answers
 from inkwell.llm.lookalike import canonical
 from inkwell.llm.sentences import Learned, Periods, lang_name, learn_periods, unit_ends
 from inkwell.llm.terms import slices, term_keys
@@ -39,8 +40,9 @@ FREE, PRIOR, SPREAD, SHARPNESS = 0.3, 0.1, 0.05, 1.5
 
 @cache
 def _letter_kinds() -> np.ndarray:
-    """Per code point of the basic plane: 0 no letter, 1 ideograph, 2 kana, 3 Latin, 4 another letter."""
-    kinds = np.zeros(0x10000, np.uint8)
+    """Per code point: 0 no letter (as all beyond the basic plane but ideographs), 1 ideograph, 2 kana, 3 Latin, 4 another letter."""
+    kinds = np.zeros(0x110000, np.uint8)
+    kinds[0x20000:0x40000] = 1
     for o in range(0x10000):
         if chr(o).isalpha():
             ideograph = 0x3400 <= o < 0xA000 or 0xF900 <= o < 0xFB00
@@ -55,9 +57,9 @@ def languages(texts: list[str]) -> list[str | None]:
     letters of other scripts are the majority. An ideograph counts as three Latin letters.
     """
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds = np.where(codes < 0x10000, _letter_kinds()[np.minimum(codes, 0xFFFF)], (codes >= 0x20000) & (codes < 0x40000))
-    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    counts = np.bincount(row * 5 + kinds, minlength=5 * len(texts)).reshape(-1, 5)
+    cell = np.repeat(np.arange(0, 5 * len(texts), 5), [len(t) for t in texts])
+    cell += _letter_kinds()[codes]
+    counts = np.bincount(cell, minlength=5 * len(texts)).reshape(-1, 5)
     out: list[str | None] = []
     for _, han, kana, latin, other in counts.tolist():
         total = han + kana + latin + other
@@ -83,6 +85,19 @@ def _lists(values: np.ndarray, owner: np.ndarray, owners: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
+def _first_uses(edge: np.ndarray) -> np.ndarray:
+    """Whether each edge stands for the first time. Edge and place are sorted as one number where they fit into one:
+    a plain sort takes a fraction of the time of one that returns an order."""
+    n = len(edge)
+    used = np.zeros(n, bool)
+    if n and int(edge.max()) < (1 << 62) // n:
+        packed = np.sort(edge * n + np.arange(n))
+        used[packed[np.flatnonzero(np.diff(packed // n, prepend=-1))] % n] = True
+    else:
+        used[np.unique(edge, return_index=True)[1]] = True
+    return used
+
+
 GRAPH = "block bigint, doc_id bigint, opinion double, words array<int>, lengths array<int>, vocabulary array<bigint>"
 
 
@@ -115,10 +130,9 @@ def document_graph(documents: DataFrame, opinion: DataFrame, known: Learned | Pe
                 row, key, start, _ = term_keys(forms)
                 order = np.argsort(start, kind="stable")  # words and letter pairs back into reading order
                 row, start = row[order], start[order]
-                vocabulary, place = np.unique(key[order], return_inverse=True)
-                edge = row.astype(np.int64) * max(len(vocabulary), 1) + place
-                used = np.zeros(len(edge), bool)
-                used[np.unique(edge, return_index=True)[1]] = True
+                coded = pa.array(key[order], pa.int64()).dictionary_encode()
+                vocabulary, place = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+                used = _first_uses(row.astype(np.int64) * max(len(vocabulary), 1) + place)
                 words = np.where(used, ~place, place).astype(np.int32)
                 sentence = np.searchsorted(ends, start, side="right")
                 per = np.bincount(np.minimum(sentence, max(len(ends) - 1, 0)), minlength=len(ends)).astype(np.int32)
@@ -155,28 +169,41 @@ def _means(values: np.ndarray, weights: np.ndarray, offsets: np.ndarray) -> np.n
     return np.where(d > 1e-9, n / np.maximum(d, 1e-9), np.nan)
 
 
-def _model(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Difficulty, weight and key of a block's words, by place."""
+def _model(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Difficulty and weight of a block's words, by place."""
     order = np.argsort(answers.column("place").to_numpy())
-    return tuple(answers.column(c).to_numpy()[order] for c in ("mu", "w", "key"))
+    return tuple(answers.column(c).to_numpy()[order] for c in ("mu", "w"))
 
 
-def _answers(graph: DataFrame, words: DataFrame | None) -> DataFrame:
-    """(block, place, key, mu, w) of every word of every block; words that nothing reached weigh nothing."""
-    asked = graph.where("vocabulary is not null").select("block", F.posexplode("vocabulary").alias("place", "key"))
-    if words is None:
-        return asked.select("block", "place", "key", F.lit(MIDDLE).alias("mu"), F.lit(0.0).alias("w"))
-    return asked.join(words.select("key", "mu", "w"), "key", "left").select("block", "place", "key", F.coalesce("mu", F.lit(MIDDLE)).alias("mu"), F.coalesce("w", F.lit(0.0)).alias("w"))
+def asked_words(graph: DataFrame) -> DataFrame:
+    """(block, place, key) of every word of every block, bucketed by ``key``: every round asks for the same words, so
+    they are laid out once."""
+    spark = graph.sparkSession
+    vocabulary = graph.where("vocabulary is not null")
+    words = vocabulary.agg(F.sum(F.size("vocabulary"))).first()[0] or 0
+    buckets = max(buckets_for(spark, words * 24), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return cut_by(vocabulary.select("block", F.posexplode("vocabulary").alias("place", "key")), "key", buckets)
 
 
-def _round(graph: DataFrame, words: DataFrame | None) -> DataFrame:
+def _answers(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """(block, place, mu, w) of every word of every block; words that nothing reached weigh nothing."""
+    return asked.join(words.select("key", "mu", "w"), "key", "left").select("block", "place", F.coalesce("mu", F.lit(MIDDLE)).alias("mu"), F.coalesce("w", F.lit(0.0)).alias("w"))
+
+
+def _round(graph: DataFrame, words: DataFrame | None, asked: DataFrame | None = None) -> DataFrame:
     """One harmonic step: documents from words, then (key, mu, w, moved) of the words from documents.
 
-    The first step (``words`` None) has the clamped documents only. ``moved``: by how much the difficulty changed.
+    The first step (``words`` None) has the clamped documents only and asks for no word. ``moved``: by how much the
+    difficulty changed. ``asked``: ``asked_words``, made here where it isn't given.
     """
 
-    def convert(rows: pa.Table, answers: pa.Table) -> dict | None:
-        mu, w, keys = _model(answers)
+    def convert(rows: pa.Table, answers: pa.Table | None = None) -> dict | None:
+        known = pc.is_valid(rows.column("vocabulary"))
+        keys, _ = _flat(rows.filter(known).column("vocabulary"))
+        rows = rows.filter(pc.invert(known))
+        if not rows.num_rows:
+            return None
+        mu, w = _model(answers) if answers is not None else (np.full(len(keys), MIDDLE), np.zeros(len(keys)))
         places, offsets = _flat(rows.column("words"))
         size = np.diff(offsets)
         owner = np.repeat(np.arange(len(size)), size)
@@ -194,8 +221,11 @@ def _round(graph: DataFrame, words: DataFrame | None) -> DataFrame:
         at = np.flatnonzero(n)
         return {"key": keys[at], "n": n[at], "s": np.bincount(nodes, s * v, len(keys))[at], "q": np.bincount(nodes, s * v * v, len(keys))[at], "old": mu[at]}
 
-    docs = graph.where("vocabulary is null" if words is not None else "opinion is not null").select("block", "opinion", "words")
-    sums = with_answers(docs, _answers(graph, words), "key bigint, n double, s double, q double, old double", convert)
+    schema, columns = "key bigint, n double, s double, q double, old double", ("block", "opinion", "words", "vocabulary")
+    if words is None:
+        sums = in_each_block(graph.where("opinion is not null or vocabulary is not null").select(*columns), schema, convert)
+    else:
+        sums = with_answers(graph.select(*columns), _answers(asked if asked is not None else asked_words(graph), words), schema, convert)
     total = sums.groupBy("key").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.max("old").alias("old"))
     mu = (F.col("s") + MIDDLE * PRIOR) / (F.col("n") + PRIOR)
     disagree = F.greatest(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2), F.lit(0.0))
@@ -210,13 +240,14 @@ class Settled:
         self.words, self.moves, self.settled = words, moves, settled
 
 
-def word_difficulty(graph: DataFrame, rounds: int = ROUNDS, settled: float = SETTLED) -> Settled:
+def word_difficulty(graph: DataFrame, rounds: int = ROUNDS, settled: float = SETTLED, asked: DataFrame | None = None) -> Settled:
     """Difficulty and weight of every word once the propagation has settled: the weighted mean movement of the
     words in a round is under ``settled``. After ``rounds`` rounds it ends with a warning and ``settled`` false."""
+    asked = asked if asked is not None else asked_words(graph)
     words = cut(_round(graph, None))
     moves: list[float] = []
     for _ in range(rounds):
-        words = cut(_round(graph, words))
+        words = cut(_round(graph, words, asked))
         moved, mass = words.agg(F.sum(F.col("moved") * F.col("w")), F.sum("w")).first()
         moves.append(float(moved or 0) / max(float(mass or 0), 1e-9))
         if moves[-1] < settled:
@@ -225,11 +256,11 @@ def word_difficulty(graph: DataFrame, rounds: int = ROUNDS, settled: float = SET
     return Settled(words, moves, False)
 
 
-def sentence_medians(graph: DataFrame, words: DataFrame) -> DataFrame:
+def sentence_medians(graph: DataFrame, words: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """(doc_id, opinion, difficulty): the median of the document's sentence difficulties."""
 
     def convert(rows: pa.Table, answers: pa.Table) -> dict:
-        mu, w, _ = _model(answers)
+        mu, w = _model(answers)
         places, _ = _flat(rows.column("words"))
         places = np.where(places < 0, ~places, places)
         lengths, sentences = _flat(rows.column("lengths"))
@@ -248,7 +279,7 @@ def sentence_medians(graph: DataFrame, words: DataFrame) -> DataFrame:
         return {"doc_id": rows.column("doc_id"), "opinion": rows.column("opinion"), "difficulty": middle}
 
     docs = graph.where("vocabulary is null").select("block", "doc_id", "opinion", "words", "lengths")
-    return with_answers(docs, _answers(graph, words), "doc_id bigint, opinion double, difficulty double", convert)
+    return with_answers(docs, _answers(asked if asked is not None else asked_words(graph), words), "doc_id bigint, opinion double, difficulty double", convert)
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, lang_col: str | None = None) -> DataFrame:
@@ -261,7 +292,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, lang_col: str | None
     any opinion every document stays in the middle (level 2). ``lang_col`` says whose periods are learned together.
     """
     graph = document_graph(documents, opinions(labels), learn_periods(documents, "text", lang_col), lang_col)
-    scored = cut(sentence_medians(graph, word_difficulty(graph).words))
+    asked = asked_words(graph)
+    scored = cut(sentence_medians(graph, word_difficulty(graph, asked=asked).words, asked))
     at = scored.where("opinion is not null and opinion = floor(opinion)").groupBy(F.col("opinion").cast("int").alias("level")).agg(F.percentile_approx("difficulty", 0.5, 10_000).alias("d"))
     centre = {r.level: r.d for r in at.collect()}
     borders = [(centre[a] + centre[a + 1]) / 2 if a in centre and a + 1 in centre and centre[a] < centre[a + 1] else a + 0.5 for a in LEVELS[:-1]]

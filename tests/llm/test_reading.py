@@ -140,3 +140,24 @@ def test_learned_periods_cut_the_sentences(spark):
 def test_long_text(spark):
     docs = [(1, "这是一句很长的话。" * 30_000, 0.0, ""), (2, "The cat ran.", 0.0, "")]
     assert R.reading_levels(spark.createDataFrame(docs, EXTRA), spark.createDataFrame([(1, 3, "r", None, "")], LAB)).count() == 2
+
+
+def test_rounds_shuffle_neither_documents_nor_what_blocks_ask(spark):
+    docs, truth = collection(60)
+    graph = R.document_graph(spark.createDataFrame(docs, EXTRA), R.opinions(spark.createDataFrame([(i, truth[i], "r", None, "") for i in range(0, 60, 4)], LAB)), size=300)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(block" not in plan(R._round(graph, None))
+    words, asked = R.cut(R._round(graph, None)), R.asked_words(graph)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert plan(R._answers(asked, words)).count("Exchange hashpartitioning(key") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 55])
+def test_first_uses_of_edges(scale):
+    edge = np.random.default_rng(1).integers(0, 50, 400) * scale
+    want = np.zeros(400, bool)
+    want[np.unique(edge, return_index=True)[1]] = True
+    assert (R._first_uses(edge) == want).all() and not len(R._first_uses(edge[:0]))
